@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, pii, secrets, simhash, style_tree, toxicity, wordpiece
+from . import decontamination, mixing, outliers, pii, secrets, simhash, style_tree, toxicity, wordpiece
 from .shared import shared_dir, table
 
 
+def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.keep(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.extract(table(spark, sf_dir, "pages"))
 
