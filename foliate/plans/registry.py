@@ -21,13 +21,20 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from . import page_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["layout_blocks"](spark, sf_dir)
+    _load()
+    return QUERIES["document_qc"](spark, sf_dir)
