@@ -188,12 +188,15 @@ def join_dehyphened_sql(left: str, right: str) -> str:
     return f"case when {left} like '%-' and regexp_matches({right}, '^[A-Za-z]') then left({left}, length({left}) - 1) || {right} when regexp_matches({left}, '[A-Za-z0-9]$') and regexp_matches({right}, '^[A-Za-z0-9]') then {left} || ' ' || {right} else {left} || {right} end"
 
 
-@F.pandas_udf("string")
-def half_width(x: pd.Series) -> pd.Series:
-    """NFKC, for which Spark has no built-in."""
+def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
+def half_width(x: Column) -> Column:
+    """NFKC, for which Spark has no built-in."""
+    return F.pandas_udf(nfkc, "string")(x)
+
+
 def first_json(x: Column, kind: str = "{}") -> Column:
     """The object (or array) in a model's reply: of a fenced block, else the outermost."""
     a, b = kind

@@ -218,6 +218,6 @@ def chunk_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of 12 pages that share a page with each neighbour. Pages compute their chunks, so nothing is joined by range."""
     pages = V.sentences(spark, sf_dir).select("doc_id", "page").distinct()
     own = F.floor((F.col("page") - 1) / 12) * 12 + 1
-    last = F.max("page").over(P._by("doc_id"))
+    last = F.col("last")
     chunks = F.array_compact(F.array(F.when((F.col("page") == own) & (own > 1), own - 12), own, F.when((F.col("page") == own + 11) & (own + 12 <= last), own + 12)))
-    return pages.select("doc_id", "page", F.explode(chunks.cast("array<int>")).alias("chunk"))
+    return pages.withColumn("last", F.max("page").over(P._by("doc_id"))).select("doc_id", "page", F.explode(chunks.cast("array<int>")).alias("chunk"))
