@@ -79,7 +79,7 @@ def may_continue_sql(a: str, b: str) -> str:
 
 
 CAPTION_NUMBERS = (
-    ("table", r"(?i)\btab(?:le|\.)\s*([A-Z]?[0-9]+(?:[.-][0-9]+)*)"), ("table", r"表\s*([A-Z]?[0-9]+(?:[.-][0-9]+)*)"), ("figure", r"(?i)\bfig(?:ure|\.)\s*([0-9]+(?:[.-][0-9]+)*)"),
+    ("table", r"(?i)\btab(?:le|\.)\s*([A-Z]?-?[0-9]+(?:[.-][0-9]+)*)"), ("table", r"表\s*([A-Z]?[0-9]+(?:[.-][0-9]+)*)"), ("figure", r"(?i)\bfig(?:ure|\.)\s*([0-9]+(?:[.-][0-9]+)*)"),
     ("figure", r"图\s*([0-9]+(?:[.-][0-9]+)*)"), ("table", r"(?i)\btab(?:le|\.)\s*([IVXLC]+)\b"),
 )
 

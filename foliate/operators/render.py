@@ -107,7 +107,7 @@ def mathml(latex: str) -> str | None:
     def row(end: str | None) -> str | None:
         nonlocal at
         out = []
-        while at < len(tokens) and tokens[at][3] != end:
+        while at < len(tokens) and (end is None or tokens[at][3] != end):
             base = atom()
             for sign, tag in (("_", "msub"), ("^", "msup")):
                 if base is not None and at < len(tokens) and tokens[at][3] == sign:
