@@ -162,11 +162,11 @@ def batch_pack_6000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(P.batch_contexts(numbered), ["doc_id", "batch"])
 
 
-@query("contd_candidates", f"""with b as (select conv_id as doc_id, turn as ord, text, case when length(text) % 6 = 0 then 'title' else 'text' end as kind from conversations),
+@query("contd_candidates", f"""with b as (select doc_id, ord, text, case when length(text) % 6 = 0 then 'title' else 'text' end as kind from {SENTENCES}),
 i as (select *, sum(case when kind = 'title' then 1 else 0 end) over (partition by doc_id order by ord) as island from b)
 select a.doc_id, a.ord, min(c.ord) as next_ord from i a join i c on c.doc_id = a.doc_id and c.island = a.island and c.ord > a.ord where a.kind = 'text' and c.kind = 'text' and {C.may_continue_sql('a.text', 'c.text')} group by a.doc_id, a.ord""")
 def contd_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), "text", F.when(F.length("text") % 6 == 0, "title").otherwise("text").alias("kind"))
+    b = V.sentences(spark, sf_dir).select("doc_id", "ord", "text", F.when(F.length("text") % 6 == 0, "title").otherwise("text").alias("kind"))
     return P.continuations(b, C.may_continue)
 
 

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import fold_queries, page_queries, structure_queries, text_queries  # noqa: F401
+    from . import convert_queries, fold_queries, page_queries, structure_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliate.functions import classify as C
 from foliate.functions import text as T
 from foliate.operators import anchors as A
+from foliate.operators import convert as K
 from foliate.operators import levels as L
 from foliate.operators import pages as P
 from foliate.operators import render as R
@@ -198,3 +199,24 @@ def test_stream_writes_each_block_once(spark, tmp_path):
     for _ in range(2):
         ingest.run(ingest.deduplicated(ingest.blocks_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert sorted(r.ord for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_math_and_scripts():
+    assert K.scripts_to_latex(r"H₂O\. x¹.² $a₁$") == r"H$_{2}$O. x$^{1.2}$ $a₁$"
+    assert K.scripts_to_latex("x ₁") == "x$_{1}$"
+    assert K.tidy_math(r"$ \mathrm{a b c}_{1 2} $ and $$ x $$") == r"$\mathrm{abc}_{12}$ and $$ x $$"
+    assert K.last_coordinates("a [1] b [2, [3]] c]") == "[2, [3]]" and K.last_coordinates("none") is None
+
+
+def test_lone_display_is_idempotent():
+    alone = '<p>(1) <math alttext="\\frac{aaaaaaaaaaaa}{bbbbbbbbbbbb}"><mi>x</mi></math>.</p>'
+    once = K.lone_display(alone)
+    assert once == alone.replace("<math ", '<math display="block" ') == K.lone_display(once)
+    for other in (alone.replace("(1)", "because"), alone.replace("\\frac", "x"), alone.replace(".</p>", " holds</p>")):
+        assert K.lone_display(other) == other
+
+
+def test_levels_said_by_a_model(spark):
+    t = spark.createDataFrame([(1, 0, 2, True, False), (1, 1, 9, False, True), (1, 2, 9, False, False)], "doc_id int, ord int, level int, anchored boolean, plain boolean")
+    said = spark.createDataFrame([(1, 0, 7), (1, 1, 1), (1, 2, 0)], "doc_id int, ord int, level int")
+    assert {r.ord: r.new_level for r in K.applied_levels(t, said).collect()} == {0: 2, 1: 3, 2: 1}
