@@ -7,15 +7,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CN = "[一二三四五六七八九十百零〇0-9]+"
+_CN = "[0-9〇零百十九八七六五四三二一]+"
+_TEN = "[十九八七六五四三二一]"
 #: Numbering shapes from the most to the least outer one; the first that fits names a title's shape.
 SHAPES = (
     ("part_cn", f"^第{_CN}[编篇卷部]"), ("part_en", r"(?i)^(?:part|volume|book|teil|partie|tome)\b"), ("chap_cn", f"^第{_CN}章"),
     ("chap_en", r"(?i)^(?:chapter|kapitel|chapitre)\b"), ("sec_cn", f"^第{_CN}节"), ("sec_en", r"(?i)^(?:§|section\b)"),
-    ("num_cn", "^[一二三四五六七八九十]+、"), ("num_cn_paren", "^[（(]?[一二三四五六七八九十]+[）)]"), ("num_dot", r"^[0-9]+\.\s*\S"),
-    ("num_paren", "^[（(]?[0-9]+[）)]"), ("roman", r"^[IVXLCDM]+[.、]\s"), ("alpha", r"^[a-zA-Z][.、]\s"),
+    ("num_cn", f"^{_TEN}+、"), ("num_cn_paren", f"^[(（]?{_TEN}+[)）]"), ("num_dot", r"^[0-9]+\.\s*\S"),
+    ("num_paren", "^[（(]?[0-9]+[）)]"), ("roman", r"^[CDILMVX]+[、.]\s"), ("alpha", r"^[A-Za-z][、.]\s"),
 )
-_LIST = r"(?i)^\s*(?:[-*•·▪◦‣]\s|[0-9]{1,3}[.)、]|[（(][0-9a-z]{1,3}[）)]|[a-z][.)]\s|[ivx]{1,5}[.)]\s|[①-⑳]|[（(]?[一二三四五六七八九十]{1,3}[）)、])"
+_LIST = r"(?i)^\s*(?:[-*•·▪◦‣]\s|[0-9]{1,3}[.)、]|[（(][0-9a-z]{1,3}[）)]|[a-z][.)]\s|[ivx]{1,5}[.)]\s|[①-⑳]|[(（]?[十九八七六五四三二一]{1,3}[、)）])"
 _END = r"[.!?。！？…]$|[.!?。！？…][\"'”’）)\]]$"
 _NUMERALS = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
@@ -53,8 +54,8 @@ def series(x: Column) -> Column:
     """(family, n) of a numbered title; null if it has no number of at least 1."""
     got = lambda p: F.nullif(F.regexp_extract(F.trim(x), p, 1), F.lit(""))
     families = [
-        ("num_dot", got(r"^([0-9]{1,9})\.\s*\S").cast("int")), ("num_cn", cn_number(got("^([一二三四五六七八九十])、"))), ("num_cn_paren", cn_number(got("^[（(]?([一二三四五六七八九十])[）)]"))),
-        ("roman", roman(got(r"^([IVXLCDM]+)[.、]\s"))), ("alpha", F.ascii(F.lower(got(r"^([a-zA-Z])[.、]\s"))) - 96),
+        ("num_dot", got(r"^([0-9]{1,9})\.\s*\S").cast("int")), ("num_cn", cn_number(got(f"^({_TEN})、"))), ("num_cn_paren", cn_number(got(f"^[(（]?({_TEN})[)）]"))),
+        ("roman", roman(got(r"^([CDILMVX]+)[、.]\s"))), ("alpha", F.ascii(F.lower(got(r"^([A-Za-z])[、.]\s"))) - 96),
     ]
     return F.coalesce(*(F.when(n > 0, F.struct(F.lit(name).alias("family"), n.cast("int").alias("n"))) for name, n in families))
 
@@ -89,7 +90,7 @@ def caption_number(x: Column) -> Column:
     return F.coalesce(*(F.when(x.rlike(p), F.struct(F.lit(k).alias("kind"), F.upper(F.regexp_replace(F.regexp_extract(x, p, 1), r"[\s-]", "")).alias("number"))) for k, p in CAPTION_NUMBERS))
 
 
-CONTINUED = ("(continued)", "(cont.)", "(cont'd)", "continued", "（续）", "续表", "(续)")
+CONTINUED = ("续表", "(续)", "（续）", "continued", "(cont'd)", "(continued)", "(cont.)")
 
 
 def says_continued(x: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE_SQL = r"[\s\p{Z}]"
+#: A chapter (or part, section, volume) by number.
+ORDINAL = "^第[0-9〇零百十九八七六五四三二一]+[部卷篇编节章]"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -47,7 +49,7 @@ QUOTES = (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'))
 def title_key(x: Column) -> Column:
     """The form in which titles and table-of-contents entries are compared."""
     x = F.regexp_replace(F.coalesce(x, F.lit("")), r"\$\^\{[^}]*\}\$", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"(?i)^[—–-]\s*[IVXLCDM]+\.?\s*[—–-]\s*", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"(?i)^[–—-]\s*[CDILMVX]+\.?\s*[–—-]\s*", "")
     for old in ("$", r"\left", r"\right"):
         x = F.replace(x, F.lit(old), F.lit(""))
     for old, new in QUOTES:
@@ -57,7 +59,7 @@ def title_key(x: Column) -> Column:
 
 def title_key_sql(x: str) -> str:
     x = _sub_sql(f"coalesce({x}, '')", r"\$\^\{[^}]*\}\$")
-    x = _sub_sql(_sub_sql(x, rf"^{SPACE_SQL}+|{SPACE_SQL}+$"), r"^[—–-]\s*[IVXLCDM]+\.?\s*[—–-]\s*", "", "i")
+    x = _sub_sql(_sub_sql(x, rf"^{SPACE_SQL}+|{SPACE_SQL}+$"), r"^[–—-]\s*[CDILMVX]+\.?\s*[–—-]\s*", "", "i")
     for old in ("$", r"\left", r"\right"):
         x = f"replace({x}, '{old}', '')"
     for old, new in QUOTES:
@@ -67,22 +69,22 @@ def title_key_sql(x: str) -> str:
 
 def strip_trailing_page(x: Column) -> Column:
     """Without the page number that dots, dashes or spaces lead to at the end."""
-    return F.trim(F.regexp_replace(x, r"(?U)[\s.…·_/—–]+[0-9]+\s*$", ""))
+    return F.trim(F.regexp_replace(x, r"(?U)[\s_·./…–—]+[0-9]+\s*$", ""))
 
 
 def strip_trailing_page_sql(x: str) -> str:
-    return f"trim({_sub_sql(x, r'[\s\p{Z}.…·_/—–]+[0-9]+[\s\p{Z}]*$', '', '')})"
+    return f"trim({_sub_sql(x, r'[\s\p{Z}_·./…–—]+[0-9]+[\s\p{Z}]*$', '', '')})"
 
 
 def core_key(x: Column) -> Column:
     """The title key without numbering and punctuation."""
     x = F.regexp_replace(title_key(x), r"^[0-9]+[.、|]?", "")
-    return F.regexp_replace(F.regexp_replace(x, "^第[一二三四五六七八九十百零〇0-9]+[章节编篇卷部]", ""), r"(?U)[^\w]", "")
+    return F.regexp_replace(F.regexp_replace(x, ORDINAL, ""), r"(?U)[^\w]", "")
 
 
 def core_key_sql(x: str) -> str:
     x = _sub_sql(title_key_sql(x), r"^[0-9]+[.、|]?", "", "")
-    return _sub_sql(_sub_sql(x, "^第[一二三四五六七八九十百零〇0-9]+[章节编篇卷部]", "", ""), r"[^\p{L}\p{M}\p{N}\p{Pc}]")
+    return _sub_sql(_sub_sql(x, ORDINAL, "", ""), r"[^\p{L}\p{M}\p{N}\p{Pc}]")
 
 
 def clean(x: Column) -> Column:
@@ -122,11 +124,11 @@ def escape_attr_sql(x: str) -> str:
 
 def file_name(x: Column) -> Column:
     """P18."""
-    return F.trim(F.regexp_replace(x, r'[<>:"/\\|?*]', "_"))
+    return F.trim(F.regexp_replace(x, r'[*?|/\\:"<>]', "_"))
 
 
 def file_name_sql(x: str) -> str:
-    return f"trim({_sub_sql(x, r'[<>:\"/\\|?*]', '_')})"
+    return f"trim({_sub_sql(x, r'[*?|/\\:\"<>]', '_')})"
 
 
 def full_punctuation(x: Column) -> Column:

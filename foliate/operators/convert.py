@@ -110,8 +110,8 @@ _LOW, _HIGH = "₀₁₂₃₄₅₆₇₈₉₊₋", "⁰¹²³⁴⁵⁶⁷⁸
 _PLAIN = "0123456789+-"
 _NAMED = re.compile(r"(\\(?:mathrm|text|operatorname)\{)((?:\S\s+)+\S)(\})")
 _DIGITS = re.compile(r"([_^]\{)([\d.\s]+)(\})")
-_ESCAPED = re.compile(r"\\([.\[\]*_#()>+!|~-])")
-_FORMULA = re.compile(r"(\$[^$]*\$)")
+_ESCAPED = re.compile(r"\\([]()[!#*+.>_|~-])")
+_FORMULA = re.compile("([$][^$]*[$])")
 
 
 def scripts_to_latex(text: str) -> str:

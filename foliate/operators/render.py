@@ -80,7 +80,7 @@ def supplements(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "ord", title.alias("title"))
 
 
-MATH = re.compile(r"\$\$(.+?)\$\$|\$([^$]+)\$", re.S)
+MATH = re.compile(r"[$]{2}([\s\S]+?)[$]{2}|[$]([^$]+)[$]")
 _TOKEN = re.compile(r"\\([A-Za-z]+)|([A-Za-z])|([0-9]+(?:\.[0-9]+)?)|(\S)")
 _NAMED = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "pi": "π", "sigma": "σ", "lambda": "λ", "mu": "μ", "times": "×", "cdot": "·", "le": "≤", "ge": "≥", "neq": "≠", "infty": "∞", "sum": "∑", "int": "∫", "to": "→"}
 

@@ -176,7 +176,7 @@ def test_sources_and_sinks(spark, tmp_path):
     for book, engine, texts in (("b1", "e1", ["x", "y"]), ("b1", "e2", ["x"]), ("b2", "e2", ["z"])):
         folder = tmp_path / "in" / book / engine
         folder.mkdir(parents=True)
-        (folder / "content_list.json").write_text(json.dumps([{"type": "text", "text": t, "page_idx": k, "bbox": [0, 0, 1, 1]} for k, t in enumerate(texts)]))
+        (folder / "content_list.json").write_text(json.dumps([{"page_idx": k, "bbox": [0, 0, 1, 1], "text": t, "type": "text"} for k, t in enumerate(texts)]))
     blocks = S.read("content_list", spark, str(tmp_path / "in"))
     assert sorted((r.document, r.engine, r.ord, r.page, r.text) for r in blocks.collect()) == [("b1", "e1", 0, 1, "x"), ("b1", "e1", 1, 2, "y"), ("b1", "e2", 0, 1, "x"), ("b2", "e2", 0, 1, "z")]
     best = S.preferred_engine(blocks, "e2")
