@@ -208,7 +208,8 @@ def deduplicate(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     names = docs.columns
     keyed = docs.withColumns({"__id0": F.col("doc_id").cast("long"), "__hash0": F.xxhash64(F.col("text").cast("string"))})
     hit = (F.col("__id0") == F.col("__id")) & (F.col("__hash0") == F.col("__hash"))
-    out = keyed.join(verdict.where("not __stays"), hit, "left_anti")
+    # whole rows are exchanged once, by hash, at every size: the rows to drop are too many to broadcast when there are many documents
+    out = keyed.join(verdict.where("not __stays").hint("shuffle_hash"), hit, "left_anti")
     again = verdict.where("__stays")
     if again.isEmpty():
         return out.select(*names)
