@@ -1,6 +1,6 @@
 """Operator 7: toxicity after noisy-channel deobfuscation.
 
-A lexicon of words typical of toxic documents is fitted on labelled rows. A character language model is counted over
+A lexicon of words typical of toxic documents is fitted on labelled rows, by language. A character language model is counted over
 all documents. Tokens with leetspeak, in-word separators or repeated letters, and runs of spaced single characters,
 become lattices whose best path under the language model (Viterbi) is the restored text. Documents are scored by the
 lexicon's weights over plain and restored words.
@@ -16,14 +16,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, words
 
-#: Labelled documents on which the lexicon is fitted, at most: those of the least hashed ids.
+#: Labelled documents on which the lexicons are fitted, at most: those of the least hashed ids, languages taking turns.
 SAMPLE_ROWS = 20_000
+#: Share of a lexicon's words that may be there by accident, and the least ratio of a word's shares.
+ALPHA, RATIO = 0.05, 20
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàâáäãåçèéêëìíîïñòóôöõøùúûüýÿßœæ"
 N = len(ALPHABET)
 INDEX = {c: k for k, c in enumerate(ALPHABET)}
@@ -50,6 +53,8 @@ class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
     grams: np.ndarray = field(default_factory=lambda: np.zeros(N**3, dtype=np.int64))
     threshold: float = math.inf
+    #: By language ("" where it is null): lexicon and threshold. Other languages take those above, fitted on all.
+    own: dict[str, tuple[dict[str, float], float]] = field(default_factory=dict)
 
     def prepare(self) -> Model:
         """Turn counts to log-probabilities: three characters of the corpus, mixed with five of the lexicon's words."""
@@ -58,6 +63,11 @@ class Model:
         two = n.sum(0)
         two = (two + 5 * one) / (two.sum(1, keepdims=True) + 5)
         self.corpus = (n + 5 * two) / (n.sum(2, keepdims=True) + 5)
+        self.by_lang = {k: Model(lexicon, self.grams, threshold)._follow(self.corpus) for k, (lexicon, threshold) in self.own.items()}
+        return self._follow(self.corpus)
+
+    def _follow(self, corpus: np.ndarray) -> Model:
+        self.corpus = corpus
         self.after: dict[str, Counter] = {}
         for w in self.lexicon:
             w = f"    {w} "
@@ -67,6 +77,9 @@ class Model:
         self.steps: dict[str, float] = {}
         return self
 
+    def of(self, lang: str | None) -> Model:
+        return self.by_lang.get(lang or "", self)
+
     def step(self, past: str, c: str) -> float:
         """log P(c | the four characters before)."""
         key = past + c
@@ -161,82 +174,178 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: dict[str, list[int]] = {}
+    count: dict[tuple[str, str], list[int]] = {}
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, lang, toxic in zip(*(c.to_pylist() for c in batch.columns)):
             for w in set(words(text)):
-                count.setdefault(w, [0, 0])[toxic > 0] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array([v[0] for v in count.values()], pa.int64()), pa.array([v[1] for v in count.values()], pa.int64())], names=["word", "clean", "toxic"])
+                count.setdefault((lang, w), [0, 0])[toxic > 0] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in count], pa.string()), pa.array([w for _, w in count], pa.string()), pa.array([v[0] for v in count.values()], pa.int64()), pa.array([v[1] for v in count.values()], pa.int64())], names=["lang", "word", "clean", "toxic"])
+
 
+def _neighbours(candidates: dict[str | None, set[str]]):
+    """(language, word, hash of its neighbours) of candidates in toxic documents; null stands for all languages."""
 
-def _neighbours(lexicon: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = ["", *words(text), ""]
-                seen |= {(x, xxhash.xxh3_64_intdigest(w[k - 1] + " " + w[k + 1]) - 2**63) for k, x in enumerate(w) if x in lexicon}
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([h for _, h in seen], pa.int64())], names=["word", "beside"])
+                for key in (lang, None):
+                    of = candidates.get(key, ())
+                    seen |= {(key, x, xxhash.xxh3_64_intdigest(w[k - 1] + " " + w[k + 1]) - 2**63) for k, x in enumerate(w) if x in of}
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in seen], pa.string()), pa.array([x for _, x, _ in seen], pa.string()), pa.array([h for _, _, h in seen], pa.int64())], names=["lang", "word", "beside"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The lexicon and threshold from a bounded sample of labelled rows; the language model from every document.
+def _choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) if 0 <= k <= n else -math.inf
+
+
+def chance(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """P that of toxic + clean documents drawn from all at least that many are toxic ones (Fisher's exact test)."""
+    k = toxic + clean
+    return sum(math.exp(_choose(n_toxic, j) + _choose(n_clean, k - j) - _choose(n_toxic + n_clean, k)) for j in range(toxic, min(k, n_toxic) + 1))
+
+
+def tests(totals: dict[int, int], n_toxic: int, n_clean: int) -> tuple[int, int]:
+    """Tarone's correction: the least number of documents in which a word can be significant, and how many words are in as many.
+
+    totals: how many words are in that many documents. Words too rare to reach the level aren't tests and don't count.
+    """
+    for k in range(1, n_toxic + 1):
+        many = sum(m for total, m in totals.items() if total >= k)
+        if many * chance(k, 0, n_toxic, n_clean) <= ALPHA:
+            return k, many
+    return n_toxic + 1, 0
+
+
+def significant(chances: dict[str, float], many: int) -> set[str]:
+    """The words that stand out of so many tests, at most ALPHA of them by accident (Benjamini and Hochberg)."""
+    order = sorted(chances, key=chances.get)
+    last = max((k for k, w in enumerate(order, 1) if chances[w] <= ALPHA * k / many), default=0)
+    return set(order[:last])
+
+
+def cut_point(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """Midway in the gap between scores that misjudges the fewest documents; the widest of several such gaps.
 
-    A word enters the lexicon if it is in at least 5 toxic documents of the sample and in 1 % of them, if its share of
-    toxic documents is at least 20 times that of the others, and if its neighbours there are of at least half as many
-    kinds as those documents (words of one text copied often are not); its weight is the log of the ratio. The threshold lies
-    midway between what 999 of 1000 clean and what 5 of 1000 toxic sample documents stay within. Labels that are null
-    or of no document don't count; of several labels of a document the largest holds. Without toxic labels no document is toxic.
+    Documents without a lexicon word score 0 and are missed by every threshold, so they don't move it.
     """
-    docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    at = np.unique(np.r_[0.0, clean, toxic])
+    if len(at) < 2 or not (toxic > 0).any():
+        return math.inf
+    low, high = at[:-1], at[1:]
+    wrong = len(clean) - np.searchsorted(np.sort(clean), low, side="right") + np.searchsorted(np.sort(toxic), low, side="right")
+    best = np.flatnonzero(wrong == wrong.min())
+    k = best[np.argmax((high - low)[best])]
+    return float(low[k] + high[k]) / 2
+
+
+def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(text, lang, toxic) of at most sample_rows labelled documents: languages take turns, so that small ones come whole."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = cut(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")  # at most sample_rows rows of 16 bytes
+    told = docs.select("doc_id", "lang").join(own, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("of"), F.max("toxic").alias("toxic"))
+    turn = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    turns = told.select("doc_id", "toxic", turn.alias("turn")).where(F.col("turn") <= sample_rows)
+    chosen = turns.orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", "toxic")
+    return cut(docs.join(F.broadcast(chosen), "doc_id").select("text", "lang", "toxic"), "labelled")  # at most sample_rows rows of 16 bytes
+
+
+def _lexicons(sample: DataFrame, n: dict[str | None, tuple[int, int]]) -> dict[str | None, dict[str, float]]:
+    """The lexicon of each language with toxic documents in the sample, and under None that of all languages together."""
+    by_lang = cut(sample.mapInArrow(_sample_words, "lang string, word string, clean long, toxic long").groupBy("lang", "word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "words")
+    every = by_lang.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).select(F.lit(None).cast("string").alias("lang"), "word", "clean", "toxic")
+    counts = by_lang.unionByName(every)
+    totals: dict[str | None, dict[int, int]] = {k: {} for k in n}
+    for r in counts.groupBy("lang", (F.col("clean") + F.col("toxic")).alias("total")).count().collect():
+        totals[r.lang][r.total] = r["count"]
+    tested = {k: tests(totals[k], t, c) for k, (t, c) in n.items() if t}
+    told = sample.sparkSession.createDataFrame([(k, *n[k], least) for k, (least, _) in tested.items()], "of string, n_toxic long, n_clean long, least long")
+    ratio = F.log((F.col("toxic") + 0.5) / (F.col("n_toxic") + 1) / ((F.col("clean") + 0.5) / (F.col("n_clean") + 1)))
+    found = counts.join(F.broadcast(told), F.col("lang").eqNullSafe(F.col("of"))).where("toxic + clean >= least").select("lang", "word", "clean", "toxic", ratio.alias("w")).where(F.col("w") >= math.log(RATIO)).collect()
+    candidates: dict[str | None, set[str]] = {}
+    for r in found:
+        candidates.setdefault(r.lang, set()).add(r.word)
+    kinds = sample.where("toxic > 0").mapInArrow(_neighbours(candidates), "lang string, word string, beside long").distinct().groupBy("lang", "word").count()
+    kinds = {(r.lang, r.word): r["count"] for r in kinds.collect()}
+    chances: dict[str | None, dict[str, float]] = {k: {} for k in tested}
+    for r in found:
+        if (many := kinds[r.lang, r.word]) >= 0.5 * r.toxic:
+            chances[r.lang][r.word] = chance(min(many, r.toxic), r.clean, *n[r.lang])
+    chosen = {k: significant(of, tested[k][1]) for k, of in chances.items()}
+    out = {k: {r.word: r.w for r in sorted(found, key=lambda r: r.word) if r.lang == k and r.word in chosen[k]} for k in tested}
+    known = by_lang.where(F.col("word").isin(list(out[None]))).collect() if out[None] else []
+    share = lambda r: (r.toxic + 0.5) / (n[r.lang][0] + 1) / ((r.clean + 0.5) / (n[r.lang][1] + 1))
+    denied = {(r.lang, r.word) for r in known if r.clean and share(r) < RATIO}
+    return {k: {**{w: v for w, v in out[None].items() if (k, w) not in denied}, **lexicon} for k, lexicon in out.items()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Lexicons and thresholds by language from a bounded sample of labelled rows; the language model from every document.
+
+    A word enters a language's lexicon if its share of that language's toxic documents is at least 20 times that of the
+    others, if that is significant by Fisher's test (5 % of false words, over all words that could be), and if its neighbours
+    there are of at least half as many kinds as those documents (words of one text copied often are not; the test, too,
+    counts a document a kind); its weight is the log of the ratio. Words significant over all languages together
+    belong to every lexicon but of a language whose clean documents use them. The threshold is that which misjudges the
+    fewest sample documents of the language. A language without toxic labels takes lexicon and threshold of all languages
+    together. Labels that are null or of no document don't count; of several labels of a document the largest holds.
+    Without toxic labels no document is toxic.
+    """
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    sample = _sample(docs, labels, sample_rows)
     model = Model()
-    n = sample.agg(F.count_if(F.col("toxic") <= 0).alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic")).first()
-    if n["toxic"]:
-        counts = sample.mapInArrow(_sample_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        ratio = F.log((F.col("toxic") + 0.5) / (n["toxic"] + 1) / ((F.col("clean") + 0.5) / (n["clean"] + 1)))
-        found = counts.where(F.col("toxic") >= max(5, 0.01 * n["toxic"])).select("word", "toxic", ratio.alias("w")).where(F.col("w") >= math.log(20)).collect()
-        kinds = sample.where("toxic > 0").mapInArrow(_neighbours({r.word for r in found}), "word string, beside long").distinct().groupBy("word").count()
-        kinds = {r.word: r["count"] for r in kinds.collect()}
-        model.lexicon = {r.word: r.w for r in sorted(found) if kinds[r.word] >= 0.5 * r.toxic}
+    n: dict[str | None, tuple[int, int]] = {r.lang: (r.toxic, r.clean) for r in sample.groupBy("lang").agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).collect()}
+    n[None] = (sum(t for t, _ in n.values()), sum(c for _, c in n.values()))
+    if n[None][0]:
+        lexicons = _lexicons(sample, n)
+        model.lexicon = lexicons.pop(None)
+        model.own = {k: (lexicon, math.inf) for k, lexicon in lexicons.items()}
         grams = docs.select("text").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
         model.grams[grams["gram"].to_numpy()] = grams["n"].to_numpy()
-        scored = sample.mapInArrow(_scorer(sample, model, ["toxic"]), "toxic int, score double").toPandas()
-        clean, toxic = (scored.score[(scored.toxic > 0) == x] for x in (False, True))
-        model.threshold = ((np.quantile(clean, 0.999) if len(clean) else 0.0) + np.quantile(toxic, 0.005)) / 2
+        scored = sample.mapInArrow(_scorer(sample, model, ["lang", "toxic"], True), "lang string, toxic int, score double, pooled double").toPandas()
+        bad = scored.toxic > 0
+        model.threshold = cut_point(scored.pooled[~bad].to_numpy(), scored.pooled[bad].to_numpy())
+        for k, (lexicon, _) in model.own.items():
+            of = scored.lang == k
+            model.own[k] = lexicon, cut_point(scored.score[of & ~bad].to_numpy(), scored.score[of & bad].to_numpy())
+            if model.own[k][1] == math.inf:  # none of its toxic documents has a lexicon word
+                model.own[k] = lexicon, model.threshold
     return model
 
 
-def _scorer(df: DataFrame, model: Model, keep: list[str] | None = None):
-    """A function for mapInArrow: keep + score, or whole rows that aren't toxic."""
-    told = df.sparkSession.sparkContext.broadcast((model.lexicon, model.grams, model.threshold))
+def _scorer(df: DataFrame, model: Model, keep: list[str] | None = None, pooled: bool = False):
+    """A function for mapInArrow: keep + score of toxic rows (of all, with the score over all languages, if pooled), or whole rows that aren't toxic."""
+    told = df.sparkSession.sparkContext.broadcast((model.lexicon, model.grams, model.threshold, model.own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*told.value).prepare()
         for batch in batches:
-            scores = np.array([m.score(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], dtype=float)
+            texts, langs = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("text", "lang"))
+            scores = np.array([m.of(k).score(t) for t, k in zip(texts, langs)], dtype=float)
+            over = pa.array(scores > np.array([m.of(k).threshold for k in langs], dtype=float), pa.bool_())
             if keep is None:
-                yield batch.filter(pa.array(~(scores > m.threshold), pa.bool_()))
+                yield batch.filter(pa.compute.invert(over))
+                continue
+            columns = [*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(scores)]
+            if pooled:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([m.score(t) for t in texts], pa.float64())], names=[*keep, "score", "pooled"])
             else:
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(scores)], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score"]).filter(over)
 
     return run
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, score, toxic = true) of every document whose score exceeds the threshold.
+    """(doc_id, score, toxic = true) of every document whose score exceeds the threshold of its language.
 
     A null or empty text scores 0; a null doc_id is carried along; repeated rows are scored each. Without rows there is no row;
     further columns don't matter.
     """
     model = fit(docs, labels, sample_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_scorer(docs, model, ["doc_id"]), "doc_id long, score double")
-    return scored.where(F.col("score") > model.threshold).withColumn("toxic", F.lit(True))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.mapInArrow(_scorer(docs, model, ["doc_id"]), "doc_id long, score double").withColumn("toxic", F.lit(True))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

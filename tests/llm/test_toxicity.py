@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,27 @@ def test_empty_tables(spark, tables):
     docs, labels = tables
     assert toxicity.toxic_documents(docs.limit(0), labels).count() == 0
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_a_minority_language_has_its_own_lexicon(spark):
+    rows, labels = corpus()
+    r = random.Random(11)
+    plain = ["".join(r.choice("äöyukmpvjgfc") for _ in range(r.randint(3, 6))) for _ in range(2000)]
+    bad = ["tollo", "urpo", "moukka", "lurjus", "kelmi", "hylkiö", "konna", "roisto"]
+    docs = [(i, t, "en") for i, t in rows]
+    for i in range(60):  # each bad word in 4 of 8 toxic documents: few beside the English ones
+        w = [r.choice(plain) for _ in range(30)]
+        for k in range(4 * (i < 8)):
+            w.insert(r.randrange(len(w)), bad[(i + k) % 8])
+        docs.append((2000 + i, " ".join(w), "fi"))
+        labels.append((2000 + i, 1, int(i < 8)))
+    docs += [(3000, "a urpo and a kelmi and a moukka", "fi"), (3001, "stupid worthless scum here", "fi"), (3002, "stupid worthless scum here", "xx"), (3003, "stupid worthless scum here", None)]
+    df = spark.createDataFrame([(i, t, k, "s", 0) for i, t, k in docs], SCHEMA)
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = sorted(r.doc_id for r in toxicity.toxic_documents(df, told).collect())
+    assert got == [*range(0, 300, 4), *range(2000, 2008), 3000, 3001, 3002, 3003]
+
+
+def test_threshold_ignores_toxic_documents_without_a_word():
+    zero, score = [0.0] * 400, [9.0, 10.0, 15.0]
+    assert toxicity.cut_point(np.array([*zero, 4.0]), np.array([0.0, *score])) == 6.5
