@@ -1,7 +1,7 @@
 """Operator 7: toxicity after noisy-channel deobfuscation.
 
 A lexicon of words typical of toxic documents is fitted on labelled rows, by language. A character language model is counted over
-all documents. Tokens with leetspeak, in-word separators or repeated letters, and runs of spaced single characters,
+all documents. Tokens with leetspeak, in-word separators or repeated letters, runs of spaced single characters, and words split in pieces
 become lattices whose best path under the language model (Viterbi) is the restored text. Documents are scored by the
 lexicon's weights over plain and restored words.
 """
@@ -41,9 +41,11 @@ LEET = {
     "*": {c: -2.0 for c in "aeiou"},
 }
 BREAK, DROP, ONCE, TWICE = -4.0, -0.4, -0.2, -1.0
+#: A blank between spaced characters that ends a word.
+SPLIT = -1.0
 EDGE = ".,;:?!\"'`´“”„«»()[]{}<>…&%#*|~=/\\"
-SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
-THRICE = re.compile(r"([^\W\d_])\1\1")
+SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+)+\S(?!\S)")
+TWIN = re.compile(r"([^\W\d_])\1")
 UNSEEN = re.compile("[­​-‏⁠﻿]")
 KEPT_TOKENS = 200_000
 
@@ -68,6 +70,7 @@ class Model:
 
     def _follow(self, corpus: np.ndarray) -> Model:
         self.corpus = corpus
+        self.starts = {w[:k] for w in self.lexicon for k in range(1, len(w))}
         self.after: dict[str, Counter] = {}
         for w in self.lexicon:
             w = f"    {w} "
@@ -93,12 +96,15 @@ class Model:
         return p
 
     def restore(self, token: str) -> str:
-        """The likeliest text behind an obfuscated token or spaced run: Viterbi over its lattice."""
-        best: dict[str, tuple[float, str]] = {"    ": (0.0, "")}
+        """The likeliest text behind an obfuscated token or spaced run: Viterbi over its lattice.
+
+        One blank joins the characters beside it or parts two words; a wider one parts them, or rarely joins.
+        """
+        best: dict[str, tuple[float, tuple | None]] = {"    ": (0.0, None)}
         k = 0
         while k < len(token):
             c, r = token[k], 1
-            if c in LEET or c.isalpha():
+            if c in LEET or c.isalpha() or c == " ":
                 while k + r < len(token) and token[k + r] == c:
                     r += 1
             if c.isalpha():
@@ -107,10 +113,12 @@ class Model:
                 ways = [(x * m, p * m + (ONCE if r > 1 and m == 1 else 0)) for x, p in LEET[c].items() for m in {1, min(r, 2)}] + [(" ", BREAK)]
                 if c in "*|":
                     ways.append(("", DROP))
+            elif c == " ":
+                ways = [("", DROP), (" ", SPLIT)] if r == 1 else [(" ", 0.0), ("", BREAK)]
             else:
                 ways = [("", DROP), (" ", BREAK)]
             k += r
-            new: dict[str, tuple[float, str]] = {}
+            new: dict[str, tuple[float, tuple | None]] = {}
             for past, (score, text) in best.items():
                 for x, p in ways:
                     s, h = score + p, past
@@ -119,9 +127,14 @@ class Model:
                             s += self.step(h, y)
                             h = "    " if y == " " else h[1:] + y
                     if h not in new or s > new[h][0]:
-                        new[h] = (s, text + x)
+                        new[h] = (s, (text, x))
             best = new
-        return max((s + (self.step(h, " ") if h[-1] != " " else 0.0), text) for h, (s, text) in best.items())[1]
+        path = max(((s + (self.step(h, " ") if h[-1] != " " else 0.0), text) for h, (s, text) in best.items()), key=lambda x: x[0])[1]
+        parts = []
+        while path is not None:
+            path, x = path
+            parts.append(x)
+        return "".join(reversed(parts))
 
     def value(self, text: str) -> float:
         return sum(self.lexicon.get(w, 0.0) for w in words(text))
@@ -129,11 +142,11 @@ class Model:
     def token(self, token: str) -> float:
         """The score of one token without white space."""
         core = token.strip(EDGE)
-        if core.isalpha() and not THRICE.search(core):
+        if core.isalpha() and not TWIN.search(core):
             return self.lexicon.get(core, 0.0)
         plain = self.value(token)
         core = token.rstrip(EDGE + "$").lstrip(".,;:?\"'`´“”„«»[]{}<>…&%#~=/\\*|") if any(x.isalpha() for x in token) else ""
-        if not core or core.isalpha() and not THRICE.search(core):
+        if not core or core.isalpha() and not TWIN.search(core):
             return max(plain, self.lexicon.get(core, 0.0))
         return max(plain, self.value(self.restore(core)))
 
@@ -144,7 +157,9 @@ class Model:
         if not text.isascii():
             text = UNSEEN.sub("", text)
         total, memo = 0.0, self.memo
-        for t, n in Counter(text.split()).items():
+        tokens = text.split()
+        kinds = Counter(tokens)
+        for t, n in kinds.items():
             v = memo.get(t)
             if v is None:
                 if len(memo) > KEPT_TOKENS:
@@ -153,11 +168,37 @@ class Model:
             if v:
                 total += n * v
         for m in SPACED.finditer(text):
-            run = "".join(m.group().split())
-            if len(set(run)) > 2:
-                if (v := memo.get(m.group())) is None:
-                    v = memo[m.group()] = self.value(self.restore(run))
-                total += v
+            if len(set(m.group())) > 2:  # a blank and two characters
+                total += self._gain(m.group().replace("\t", " "))
+        return total + self._pieces(tokens, kinds)
+
+    def _gain(self, text: str) -> float:
+        """What restoring a text of several tokens adds to its score."""
+        if (v := self.memo.get(text)) is None:
+            if len(self.memo) > KEPT_TOKENS:
+                self.memo.clear()
+            v = self.memo[text] = max(0.0, self.value(self.restore(text)) - self.value(text))
+        return v
+
+    def _pieces(self, tokens: list[str], kinds: Counter) -> float:
+        """The score of lexicon words that blanks split into pieces, where the language model prefers the word."""
+        first = {t: x for t in kinds if (x := t.lstrip(EDGE)) in self.starts}
+        total, past = 0.0, 0
+        for i, t in enumerate(tokens) if first else ():
+            if i < past or t not in first:
+                continue
+            pieces = [first[t]]
+            for j in range(i + 1, len(tokens)):
+                pieces.append(tokens[j])
+                word = "".join(pieces)
+                core = word.rstrip(EDGE)
+                if core in self.lexicon and any(len(x) > 1 for x in tokens[i : j + 1]):
+                    pieces[-1] = tokens[j].rstrip(EDGE)
+                    if v := self._gain("  ".join(pieces)):
+                        total, past = total + v, j + 1
+                        break
+                if word not in self.starts:
+                    break
         return total
 
 

@@ -106,3 +106,18 @@ def test_a_minority_language_has_its_own_lexicon(spark):
 def test_threshold_ignores_toxic_documents_without_a_word():
     zero, score = [0.0] * 400, [9.0, 10.0, 15.0]
     assert toxicity.cut_point(np.array([*zero, 4.0]), np.array([0.0, *score])) == 6.5
+
+
+def test_spaced_doubled_and_split_words(tables):
+    model = toxicity.fit(*tables).prepare()
+    one = {w: model.lexicon[w] for w in ("stupid", "worthless", "scum")}
+    for text, found in [
+        ("a s t u p i d", ["stupid"]), ("you are a s t u p i d", ["stupid"]), ("s t u p i d s c u m", ["stupid", "scum"]), ("s t u p i d   s c u m", ["stupid", "scum"]),
+        ("sstupid", ["stupid"]), ("stuupid", ["stupid"]), ("stu pid", ["stupid"]), ("(wor th less)", ["worthless"]), ("s cu m", ["scum"]),
+        ("sc um, stu pid", ["scum", "stupid"]), ("s t u p i d", ["stupid"]), ("a e", []), ("no run", []), ("stupid", ["stupid"]),
+    ]:
+        assert abs(model.score(text) - sum(one[w] for w in found)) < 1e-9, text
+    assert toxicity.SPACED.search("x a b y").group() == "x a b y" and toxicity.SPACED.search("it a b is").group() == "a b"
+    three = toxicity.Model({"fag": 5.0}, model.grams, 1.0).prepare()
+    assert three.score("he is f a g here") == 5.0
+    assert model.score("a b " * 100000) == 0
