@@ -34,6 +34,8 @@ class Automaton:
         for piece in pieces:
             first = piece[:1] == b" "
             body = piece[1:] if first else piece
+            if piece == b" ":  # the space alone: a word may begin with any piece
+                ends[0] = True
             if not body or b" " in body:
                 continue
             v = 0 if first else 1
@@ -56,6 +58,8 @@ class Automaton:
         byte from the parent's link, popping again where that can't step.
         """
         self.link, self.pops = [-1] * len(self.child), [0] * len(self.child)
+        if ends[0]:
+            self.link[0], self.pops[0] = 1, 1
         queue = deque((c, x, v) for v in (0, 1) for c, x in self.child[v].items())
         while queue:
             c, v, parent = queue.popleft()
@@ -115,7 +119,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, words, tokens) for every row of docs.
 
     A text is split at white space; each word is taken with a space before it and split greedily into the longest pieces of
-    the vocabulary. A word that can't be split is one unknown token. Null and empty texts have no tokens; null ids and repeated rows are counted like others;
+    the vocabulary, of which the space alone may be the first. A word that can't be split is one unknown token. Null and empty texts have no tokens; null ids and repeated rows are counted like others;
     an empty table gives no rows. The vocabulary is read on the driver and sent once to each executor (0.5 MB, fixed).
     """
     told = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
