@@ -4,12 +4,16 @@ The DOMs of one host are merged: an element node stands for all elements reached
 sequences of children seen below it. Importance is measured by entropy: of the styles for inner nodes (presentation), of
 the text pieces, link targets and image sources for leaves (content). Branches that are unimportant from top to bottom
 are cut from every page that has them.
+
+One pass over the pages gives styles and contents together; a second one cuts, each page beside the noise of its host.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -17,30 +21,32 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, slices
 
 #: How fast the weight of a node's own entropy grows with its number of styles.
 GAMMA = 0.9
 #: Branches whose composite importance stays below this everywhere are noise.
 THRESHOLD = 0.2
-#: A node on fewer pages of its host has importance 1: too few to tell a template from copies.
-MIN_PAGES = 4
-#: Cut nodes (of 8 bytes) that one broadcast may hold; if there are more, groups of hosts take several passes.
-CUT_NODES = 2_000_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<]*\Z", re.S)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: After one tag whose quotes don't close, tags of the page end at the first >, so that no text is searched twice.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "svg")}
-ATTRIBUTE = re.compile(r"([a-zA-Z][\w-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"(?<![\w-])([a-zA-Z][\w-]*+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 LOOK = ("class", "align", "bgcolor", "width")
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = set("address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul br".split())
 #: An opening tag closes an open one of these, up to the nearest of the barriers.
-CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_PARTS = ({"p"}, {"div", "article", "section", "td", "th", "li", "body", "blockquote", "form", "table"})
+CLOSES = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+_PARTS = (("p",), ("div", "article", "section", "td", "th", "li", "body", "blockquote", "form", "table"))
+for _t in BLOCK - {"br"}:
+    CLOSES.setdefault(_t, _PARTS)
 PIECE = re.compile(r"(?<=[.!?…])\s+|[\n\r\t|•·»«]+")
+SPACES, LINES = re.compile(r"\s+"), re.compile(r" ?\n[ \n]*")
 
 
 class Node:
@@ -54,51 +60,86 @@ class Node:
 
 
 def parse(source: str | None) -> Node:
-    """The DOM of a page; scripts, style sheets and comments are left out, missing end tags filled in."""
-    root = Node("#root")
-    stack, at, source = [root], 0, source or ""
-    opened: Counter[str] = Counter()
+    """The DOM of a page; scripts, style sheets and comments are left out, missing end tags filled in.
+
+    Time is linear in the length of any source: no place is searched again after a failure.
+    """
+    root, source = Node("#root"), source or ""
+    stack, order, at, seen, tags = [root], [root], 0, 0, TAG
+    opened: dict[str, list[int]] = {}  # where in the stack elements of a tag are
+    last = source.rfind(">")
 
     def say(text: str) -> None:
         if text and not text.isspace():
-            stack[-1].children.append(Node("#text", text=html.unescape(text) if "&" in text else text, target=stack[-1].target))
+            n = Node("#text", text=html.unescape(text) if "&" in text else text, target=stack[-1].target)
+            n.below = True
+            stack[-1].children.append(n)
 
     def close(k: int) -> None:
-        opened.subtract(n.tag for n in stack[k:])
+        for n in stack[k:]:
+            opened[n.tag].pop()
         del stack[k:]
 
-    while m := TOKEN.search(source, at):
-        say(source[at : m.start()])
-        at = m.end()
-        if not (tag := m[2]):
+    while (p := source.find("<", seen)) >= 0:
+        c = source[p + 1 : p + 2]
+        if c == "!" or c == "?":
+            if source.startswith("<!--", p) or p < last:
+                say(source[at:p])
+                at = seen = COMMENT.match(source, p).end()
+            else:
+                seen = p + 1
+            continue
+        if c == "/":
+            c = source[p + 2 : p + 3]
+        if not ("a" <= c <= "z" or "A" <= c <= "Z"):
+            seen = p + 1
             continue
+        if p > last:  # tags that never end
+            q = source.rfind("<")
+            if source[q + 1 : q + 2].isalpha() or source[q + 1 : q + 2] == "/" and source[q + 2 : q + 3].isalpha():
+                say(source[at:q])
+                at = len(source)
+            break
+        if not (m := tags.match(source, p)):
+            tags = PLAIN_TAG
+            m = tags.match(source, p)
+        say(source[at:p])
+        at = seen = m.end()
+        ending, tag, rest = m.groups()
         tag = tag.lower()
-        if m[1]:
-            if opened[tag] > 0:
-                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+        if ending:
+            if where := opened.get(tag):
+                close(where[-1])
             continue
         if raw := RAW.get(tag):
-            at = end.end() if (end := raw.search(source, at)) else len(source)
+            at = seen = end.end() if (end := raw.search(source, at)) else len(source)
             continue
-        closes, until = CLOSES.get(tag) or (_PARTS if tag in BLOCK and tag != "br" else ((), ()))
-        if any(opened[x] > 0 for x in closes):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    close(k)
-                elif stack[k].tag in until:
-                    break
-        had = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        node = Node(tag, " ".join(had.get(x) or "" for x in LOOK if x in had), target=had.get("href") or "" if tag == "a" else had.get("src") or "" if tag == "img" else stack[-1].target)
+        if (rule := CLOSES.get(tag)) and (where := max((w[-1] for x in rule[0] if (w := opened.get(x))), default=0)):
+            # of several nested ones all up to the barrier are closed
+            barrier = max((w[-1] for x in rule[1] if (w := opened.get(x))), default=0)
+            if where > barrier:
+                close(min(w[bisect_right(w, barrier)] for x in rule[0] if (w := opened.get(x)) and w[-1] > barrier))
+        look, target = "", stack[-1].target
+        if "=" in rest:
+            had = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(rest)}
+            look = " ".join(had[x] or "" for x in LOOK if x in had)
+            if tag == "a":
+                target = had.get("href") or ""
+            elif tag == "img":
+                target = had.get("src") or ""
+        if tag == "a" and "=" not in rest or tag == "img" and "=" not in rest:
+            target = ""
+        node = Node(tag, look, target=target)
+        node.below = tag == "img" and bool(target)
         stack[-1].children.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
+        order.append(node)
+        if tag not in VOID and rest[-1:] != "/":
+            opened.setdefault(tag, []).append(len(stack))
             stack.append(node)
-            opened[tag] += 1
     say(source[at:])
-    order = [root]
-    for n in order:
-        order.extend(n.children)
     for n in reversed(order):
-        n.below = bool(n.text or n.tag == "img" and n.target or any(c.below for c in n.children))
+        if not n.below:
+            n.below = any(c.below for c in n.children)
     return root
 
 
@@ -111,13 +152,23 @@ def walk(root: Node, host: str) -> Iterator[tuple[Node, int, int, int, int, int]
 
     A style key stands for the element and the sequence of its children; a leaf's is its own key.
     """
-    top = _key(host)
-    queue = [(root, top, 0, 1, 0)]
+    digest = xxhash.xxh3_64_intdigest
+    queue = [(root, _key(host), 0, 1, 0)]
     for node, key, above, siblings, depth in queue:
-        bearing = [(k, c) for k, c in enumerate(node.children) if c.below]
-        style = _key(key, *(f"{c.tag} {c.look} {c.below:d}" for c in node.children)) if bearing else key
+        style = key
+        if node.below and node.children:
+            bearing, said = [], [str(key)]
+            for k, c in enumerate(node.children):
+                if c.below:
+                    bearing.append((k, c))
+                    said.append(f"{c.tag} {c.look} 1")
+                else:
+                    said.append(f"{c.tag} {c.look} 0")
+            style = digest("\x1f".join(said)) - 2**63
+            n = len(bearing)
+            for k, c in bearing:
+                queue.append((c, digest(f"{style}\x1f{k}") - 2**63, key, n, depth + 1))
         yield node, key, style, above, siblings, depth
-        queue.extend((c, _key(style, k), key, len(bearing), depth + 1) for k, c in bearing)
 
 
 def features(node: Node) -> list[str]:
@@ -134,154 +185,169 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["host", "node", "style", "above", "siblings", "depth", "leaf"]
-    for whole in batches:
-        for k in range(0, whole.num_rows, 500):
-            batch = whole.slice(k, 500)
-            rows = []
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = host_of(url)
-                at = _key(h)
-                rows += [(at, key, style, above, n, depth, key == style) for _, key, style, above, n, depth in walk(parse(source), h)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()])], names=names)
+def host(url: Column) -> Column:
+    """host_of() as a column."""
+    name = F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)(?=[/?#:]|$)", 1)
+    return F.lower(F.coalesce(F.regexp_replace(name, r"[\[\]]", ""), F.lit("")))
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of styles (feature null) and of contents, summed over the pages of a slice."""
+    names = ["node", "item", "content", "n", "s", "host", "above", "siblings", "depth", "leaf"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    digest = xxhash.xxh3_64_intdigest
     for whole in batches:
-        for k in range(0, whole.num_rows, 500):
-            batch = whole.slice(k, 500)
-            node, feature, n = [], [], []
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for leaf, key, style, *_ in walk(parse(source), host_of(url)):
+        for batch in slices(whole, 1):
+            styles: Counter[tuple[int, int]] = Counter()
+            about: dict[int, tuple] = {}
+            contents: dict[tuple[int, int], list[float]] = {}
+            for h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not source:
+                    continue
+                root = parse(source)
+                if not root.below:
+                    continue
+                own = []
+                for node, key, style, above, n, depth in walk(root, h):
+                    own.append((key, style))
+                    if key not in about:
+                        about[key] = (h, above, n, depth, key == style)
                     if key == style:
-                        for f, c in Counter(features(leaf)).items():
-                            node.append(key)
-                            feature.append(xxhash.xxh3_64_intdigest(f) - 2**63)
-                            n.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(feature, pa.int64()), pa.array(n, pa.int64())], names=["node", "feature", "n"])
-
-
-def importance(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, node, above, depth, share, pages, styles, own) for every node of the style trees that min_pages pages or more have.
-
-    own is the node importance: for an inner node the entropy of its styles over the pages, to the base of their number;
-    for a leaf 1 less the mean entropy of its features. share is the node's weight in the mean over the children of the element above.
+                        for f, c in Counter(features(node)).items():
+                            held = contents.setdefault((key, digest(f) - 2**63), [0, 0.0])
+                            held[0] += c
+                            if c > 1:
+                                held[1] += c * math.log(c)
+                styles.update(own)
+            n, m = len(styles), len(contents)
+            meta = [about[key] for key, _ in styles]
+            columns = [
+                [k for k, _ in styles] + [k for k, _ in contents], [x for _, x in styles] + [x for _, x in contents], [False] * n + [True] * m, [*styles.values(), *(v[0] for v in contents.values())], [0.0] * n + [v[1] for v in contents.values()],
+                *([x[k] for x in meta] + [None] * m for k in range(5)),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+
+def nodes(pages: DataFrame) -> DataFrame:
+    """(host, node, above, depth, siblings, leaf, pages, styles, s, kinds, spread) for every node of the style trees on two pages or more.
+
+    s: sum of n log n over the numbers n of pages of its styles; kinds: a leaf's different features; spread: the sum of their entropies.
     """
-    source = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    styles = source.mapInArrow(_nodes, "host long, node long, style long, above long, siblings int, depth int, leaf boolean").groupBy("host", "node", "style", "above", "siblings", "depth", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    merged = styles.groupBy("host", "node", "above", "siblings", "depth", "leaf").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("styles"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    merged = cut(merged.where(F.col("pages") >= min_pages), "style-nodes")
-    per = source.mapInArrow(_contents, "node long, feature long, n long").groupBy("node", "feature").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    content = per.groupBy("node").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.log("n") - F.col("s") / F.col("n")).alias("spread"))
-    scale = F.log(F.greatest("pages", F.lit(2)))
-    inner = (F.log("pages") - F.col("s") / F.col("pages")) / scale
-    leaf = 1 - F.col("spread") / F.col("kinds") / scale
-    every = merged.join(content, "node", "left")
-    return every.select("host", "node", "above", "depth", "siblings", "pages", "styles", "leaf", F.greatest(F.lit(0.0), F.when(F.col("leaf"), leaf).otherwise(inner)).alias("own"))
+    source = pages.select(host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
+    rows = source.mapInArrow(_trees, "node long, item long, content boolean, n long, s double, host string, above long, siblings int, depth int, leaf boolean")
+    about = [F.max(c).alias(c) for c in ("host", "above", "siblings", "depth", "leaf")]  # alike in all rows of a node's styles
+    items = rows.groupBy("node", "item", "content").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *about)
+    style, n = ~F.col("content"), F.col("n")
+    merged = items.groupBy("node").agg(*about, F.sum(F.when(style, n)).alias("pages"), F.count_if(style).alias("styles"), F.sum(F.when(style, n * F.log(n))).alias("s"), F.count_if("content").alias("kinds"), F.sum(F.when(F.col("content"), F.log(n) - F.col("s") / n)).alias("spread"))
+    return merged.where("pages > 1")
 
 
 def _noise(threshold: float):
-    names = ["host", "node"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts).sort_by([("depth", "ascending")])
-        node, above, depth = (t.column(c).to_numpy() for c in ("node", "above", "depth"))
-        pages, own, styles, leaf = (t.column(c).to_numpy() for c in ("pages", "own", "styles", "leaf"))
+        get = lambda c: t.column(c).to_numpy(zero_copy_only=False)
+        node, above, depth, pages, styles, leaf = (get(c) for c in ("node", "above", "depth", "pages", "styles", "leaf"))
+        site, whole = np.unique(np.asarray(t.column("host").to_pylist(), dtype=object).astype(str), return_inverse=True)
+        every = np.ones(len(site))
+        np.maximum.at(every, whole, pages)  # a host's root is on all of its pages
         order = np.argsort(node)
         place = order[np.minimum(np.searchsorted(node, above, sorter=order), len(node) - 1)]
-        up = np.where(node[place] == above, place, -1)  # a node's parent has at least its pages, so it is here too
-        weight = np.where(up >= 0, pages / pages[up] / t.column("siblings").to_numpy(), 0.0)
-        comp, below, least = own.astype(float), np.zeros(len(node)), np.ones(len(node))
+        up = np.where((node[place] == above) & (depth > 0), place, -1)  # a node's parent has at least its pages, so it is here too
+        weight = np.where(up >= 0, pages / pages[up] / get("siblings"), 0.0)
+        own = np.where(leaf, 1 - get("spread") / np.maximum(get("kinds"), 1) / np.log(every[whole]), (np.log(pages) - get("s") / pages) / np.log(pages))
+        comp, below, least = np.maximum(own, 0.0), np.zeros(len(node)), np.ones(len(node))
         worst = np.zeros(len(node))  # the greatest importance in the branch
         for d in np.unique(depth)[::-1]:
             a, b = np.searchsorted(depth, [d, d + 1])
             k = np.arange(a, b)
             inner = k[~leaf[k]]
             fade = GAMMA ** styles[inner]
-            comp[inner] = (1 - fade) * own[inner] + fade * (below[inner] + np.maximum(least[inner], 0))
-            # what isn't listed below a node is on too few pages, so it is important and so is the branch
+            comp[inner] = (1 - fade) * comp[inner] + fade * (below[inner] + np.maximum(least[inner], 0))
+            # what isn't listed below a node is on one page, so it is important and so is the branch
             worst[inner] = np.maximum(worst[inner], np.where(least[inner] > 1e-9, 1.0, 0.0))
             worst[k] = np.maximum(worst[k], comp[k])
             have = k[up[k] >= 0]
             np.add.at(below, up[have], weight[have] * comp[have])
             np.add.at(least, up[have], -weight[have])
             np.maximum.at(worst, up[have], worst[have])
-        bad = worst < threshold
-        first = bad & ~((up >= 0) & bad[up])
-        yield pa.RecordBatch.from_arrays([pa.array(t.column("host").to_numpy()[first]), pa.array(node[first])], names=names)
+        bad = (worst < threshold) & (depth > 0)
+        first = np.flatnonzero(bad & ~((up >= 0) & bad[up]) & ~_doomed(worst < threshold, up, depth))
+        yield pa.RecordBatch.from_arrays([pa.array(site[whole[first]].tolist(), pa.string()), pa.array(node[first])], names=["host", "node"])
 
     return run
 
 
-def noise(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+def _doomed(bad: np.ndarray, up: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """True below a root that is noise as a whole: its pages are copies of each other, and none of them tells a template."""
+    out = bad & (depth == 0)
+    for d in range(1, int(depth.max()) + 1):
+        k = np.flatnonzero(depth == d)
+        out[k] = (up[k] >= 0) & out[up[k]]
+    return out
+
+
+def noise(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host, node) of the topmost noise nodes: composite importance below threshold in the node and all below it.
 
     A task holds the shared nodes of some hosts: their number follows the templates, not the pages.
     """
-    return importance(pages, min_pages).repartition("host").mapInArrow(_noise(threshold), "host long, node long")
+    return cut(nodes(pages), "style-nodes").repartition("host").mapInArrow(_noise(threshold), "host string, node long")
 
 
-def content(root: Node, host: str, noise_nodes: np.ndarray) -> tuple[str, int]:
+def content(root: Node, host: str, noise_nodes: set[int]) -> tuple[str, int]:
     """A page's text without noise branches, and the number of branches removed; blocks are lines."""
-    keys = {id(n): key for n, key, *_ in walk(root, host)} if len(noise_nodes) else {}
-    bad: set[int] = set()
-    if keys:
-        own = np.fromiter(keys.values(), np.int64, len(keys))
-        at = np.minimum(np.searchsorted(noise_nodes, own), len(noise_nodes) - 1)
-        bad = {i for i, hit in zip(keys, noise_nodes[at] == own) if hit}
+    bad = {id(n) for n, key, *_ in walk(root, host) if key in noise_nodes} if noise_nodes else ()
     parts, removed, stack = [], 0, [root]
     while stack:
         n = stack.pop()
-        if isinstance(n, str):
-            parts.append(n)
-        elif id(n) in bad:
-            removed += 1
+        if n is None:
+            parts.append("\n")
         elif n.text is not None:
-            parts.append(re.sub(r"\s+", " ", n.text))
+            if bad and id(n) in bad:
+                removed += 1
+            else:
+                parts.append(SPACES.sub(" ", n.text))
+        elif bad and id(n) in bad:
+            removed += 1
+        elif n.tag in BLOCK:
+            parts.append("\n")
+            stack.append(None)
+            stack.extend(reversed(n.children))
         else:
-            around = ["\n"] if n.tag in BLOCK else []
-            stack += [*around, *reversed(n.children), *around]
-    return re.sub(r" ?\n[ \n]*", "\n", "".join(parts)).strip(), removed
+            stack.extend(reversed(n.children))
+    return LINES.sub("\n", "".join(parts)).strip(), removed
 
 
-def _extract(told):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad = told.value
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                found = [content(parse(s), host_of(u), bad) if s is not None else (None, 0) for u, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([r for _, r in found], pa.int64())], names=["page_id", "text", "removed"])
-
-    return run
-
-
-def _of_part(parts: int, part: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([_key(host_of(u)) % parts == part for u in b.column(1).to_pylist()], pa.bool_()))
-
-    return run
-
-
-def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            texts, removed, last, bad = [], [], None, set()
+            for source, h, own in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "noise"))):
+                if source is None:
+                    t, r = None, 0
+                else:
+                    if own != last:
+                        last, bad = own, set(own or ())
+                    t, r = content(parse(source), h, bad)
+                texts.append(t)
+                removed.append(r)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "text", "removed"])
+
+
+def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, text, removed) for every row of pages: its text after the noise branches of its host are cut, and how many were.
 
-    Null HTML gives null text, empty HTML empty text; a null or unreadable address belongs to the host ''. Repeated rows
-    count as pages each and are all returned; null ids are carried along. An empty table gives no rows; further columns don't matter.
+    A leaf's entropy is measured against the number of its host's pages, so that what a few of many pages share stays; a host
+    of one page loses nothing, nor does one whose pages are all copies of one. Null HTML gives null text, empty HTML empty
+    text; a null or unreadable address belongs to the host ''. Repeated rows count as pages each and are all returned; null ids
+    are carried along. Very long or ill-formed pages are parsed in linear time. An empty table gives no rows; further columns don't matter.
+
+    Pages are joined to the list of their host's noise nodes: Spark sends the lists to the pages if they are small, and else
+    exchanges pages by host, splitting hot hosts.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    bad = cut(noise(pages, threshold, min_pages), "noise")
-    parts = max(1, -(-bad.count() // CUT_NODES))
-    out = None
-    for part in range(parts):
-        own = bad if parts == 1 else bad.where(F.pmod("host", F.lit(parts)) == part)
-        nodes = np.sort(own.select("node").toPandas()["node"].to_numpy(dtype=np.int64))
-        some = rows if parts == 1 else rows.mapInArrow(_of_part(parts, part), rows.schema)
-        found = some.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(nodes)), "page_id long, text string, removed long")
-        out = found if out is None else out.union(found)
-    return out
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"), host(F.col("url").cast("string")).alias("host"))
+    bad = cut(noise(pages, threshold), "noise").groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("noise"))
+    return rows.join(bad, "host", "left").select("page_id", "html", "host", "noise").mapInArrow(_extract, "page_id long, text string, removed long")
