@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op9_secrets": secrets.ORACLE}
+    return {"op5_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op9_secrets": secrets.ORACLE}
