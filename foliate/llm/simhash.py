@@ -1,7 +1,13 @@
-"""Operator 8: SimHash near-duplicates by a hierarchical index in Gray order."""
+"""Operator 8: SimHash near-duplicates by a hierarchical index in Gray order.
+
+Distinct fingerprints are put in tables, each keyed by some of their bits; in a table those of one key are sorted by Gray rank, and
+a tree over them factors the bit patterns that its nodes share. Key bits follow the number of fingerprints, so that keys stay
+small groups, and tables the key bits, so that at every size a pair at the very radius is missed with probability MISS only.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +16,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, merge, mix64, words
+from .shared import components, cut, merge, mix64, slices, unused, words
 
-BITS, BLOCK = 256, 16
+BITS = 256
 #: Two fingerprints of at most this many differing bits are near-duplicates (a cosine of 0.92 of the word sets).
 MAX_DISTANCE = 32
 FAN = 8
+#: The probability that a pair of exactly MAX_DISTANCE differing bits meets in no table; it falls steeply below.
+MISS = 1e-3
+#: Fingerprints of a key that there are on average, as a power of two; rows of whole keys that are searched at once.
+CROWD, CHUNK = 3, 200_000
 _LANES = np.array([int.from_bytes(bytes((b >> j) & 1 for j in range(8)), "little") for b in range(256)], dtype=np.uint64)
 
 
@@ -42,31 +52,36 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, found, counts, text_hash = [], [], [], []
-        for i, text, same in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("text_hash").to_pylist()):
-            own = set(words(text))
-            if i is None or not own:
-                continue
-            ids.append(i)
-            counts.append(len(own))
-            found.append(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)))
-            text_hash.append(same)
-        if ids:
-            f = fingerprints(np.concatenate(found), np.array(counts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(text_hash, pa.int64()), *(pa.array(f[:, k]) for k in range(4))], names=["doc_id", "text_hash", "f0", "f1", "f2", "f3"])
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            ids, found, counts, text_hash = [], [], [], []
+            for i, text, same in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("text_hash").to_pylist()):
+                own = set(words(text))
+                if i is None or not own:
+                    continue
+                ids.append(i)
+                counts.append(len(own))
+                found.append(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)))
+                text_hash.append(same)
+            if ids:
+                f = fingerprints(np.concatenate(found), np.array(counts)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(text_hash, pa.int64()), *(pa.array(f[:, k]) for k in range(4))], names=["doc_id", "text_hash", "f0", "f1", "f2", "f3"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(_sign, "doc_id long, text_hash long, f0 long, f1 long, f2 long, f3 long")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each word in Gray order: the number whose Gray code it is."""
-    x = x.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(s)
-    return x
+def gray_rank(f: np.ndarray) -> np.ndarray:
+    """The place of each fingerprint in Gray order, as words of falling weight: the number whose Gray code it is."""
+    out, odd = np.empty_like(f), np.zeros(len(f), dtype=np.uint64)
+    for k in range(f.shape[1]):
+        x = f[:, k].copy()
+        for s in (1, 2, 4, 8, 16, 32):
+            x ^= x >> np.uint64(s)
+        out[:, k] = x ^ (np.uint64(0) - odd)
+        odd = out[:, k] & np.uint64(1)
+    return out
 
 
 def link(f: np.ndarray, key: np.ndarray, node: np.ndarray, most: int, parent: np.ndarray) -> None:
@@ -78,12 +93,7 @@ def link(f: np.ndarray, key: np.ndarray, node: np.ndarray, most: int, parent: np
     pruned with all below it. So is a pair of nodes whose members all are in one component already: it can't
     change the components.
     """
-    block = (key // (2**BLOCK)).astype(np.int64)
-    at = np.arange(len(f))
-    turn = ((block % 4) * BLOCK).astype(np.uint64)
-    w = f[at, block // 4]
-    w = np.where(turn == 48, w, (w << (np.uint64(48) - turn)) | (w >> ((turn + np.uint64(16)) % np.uint64(64))))
-    order = np.lexsort((gray_rank(f[at, (block // 4 + 1) % 4]), gray_rank(w), key))
+    order = np.lexsort((*gray_rank(f).T[::-1], key))
     f, key, node = f[order], key[order], node[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
@@ -148,43 +158,85 @@ def link(f: np.ndarray, key: np.ndarray, node: np.ndarray, most: int, parent: np
                 descend(level, a, a + (j - i), None, np.zeros(len(a), dtype=np.int64))
 
 
-def _search(most: int):
+def tables(n: int, most: int) -> np.ndarray:
+    """The bits that key each table, a row a table, for n fingerprints and radius most.
+
+    Keys have so many bits that 2^CROWD fingerprints share one on average; a pair of most differing bits agrees in all of them
+    with probability p, so that log MISS / log(1 - p) tables of independent bits lose it with probability MISS.
+    """
+    width = min(max(4, (max(n, 1) - 1).bit_length() - CROWD), BITS - most)
+    p = math.exp(math.lgamma(BITS - most + 1) - math.lgamma(BITS - most - width + 1) + math.lgamma(BITS - width + 1) - math.lgamma(BITS + 1))
+    many = math.ceil(math.log(MISS) / math.log1p(-p)) if p < 1 else 1
+    draw = np.random.default_rng(8)
+    return np.stack([np.sort(draw.permutation(BITS)[:width]) for _ in range(many)])
+
+
+def _keyed(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
+        weight = np.int64(1) << np.arange(bits.shape[1], dtype=np.int64)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2048):
+                batch = whole.slice(k, 2048)
+                f = np.stack([batch.column(f"f{k}").to_numpy() for k in range(4)], axis=1)
+                on = np.unpackbits(f.view(np.uint8), axis=1, bitorder="little")
+                for t in range(0, len(bits), 16):
+                    some = bits[t : t + 16]
+                    key = on[:, some].astype(np.int64) @ weight + (np.arange(t, t + len(some), dtype=np.int64) << np.int64(bits.shape[1]))
+                    again = np.repeat(np.arange(len(f)), len(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("rep").take(pa.array(again)), *(pa.array(f[again, j]) for j in range(4))], names=["key", "rep", "f0", "f1", "f2", "f3"])
+
+    return run
+
+
+def _search(most: int):
+    def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
         ids, node = np.unique(t.column("rep").to_numpy(), return_inverse=True)
         f = np.stack([t.column(f"f{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
         parent = np.arange(len(ids))
-        link(f, t.column("key").to_numpy().astype(np.int64), node, most, parent)
+        link(f, t.column("key").to_numpy(), node, most, parent)
         moved = np.flatnonzero(parent != np.arange(len(ids)))
         if len(moved):
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[parent[moved]])], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:  # in order of the keys; the last key of a chunk waits for the rest of its rows
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows >= CHUNK:
+                key = b.column("key").to_numpy()
+                last = int(np.searchsorted(key, key[-1]))
+                if last or len(held) > 1 and held[-2].column("key")[-1].as_py() != key[0]:
+                    yield from found([*held[:-1], b.slice(0, last)])
+                    held, rows = [b.slice(last)], b.num_rows - last
+        if rows:
+            yield from found(held)
+
     return run
 
 
 def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> tuple[DataFrame, DataFrame]:
     """(signatures, (node, root) of the fingerprints that have neighbours); a node is the least doc_id of a fingerprint.
 
-    Each distinct fingerprint is a query. It meets all that share one of its sixteen 16-bit blocks: certain for pairs of
-    up to 15 differing bits, for 96 of 100 at 25 and 87 of 100 at 32. No group, neighbour list or candidate list is capped.
+    Each distinct fingerprint is a query in every table. No group, neighbour list or candidate list is capped. A task holds the
+    fingerprints of one key, or CHUNK of several keys.
     """
     sig = cut(signatures(docs), "simhash")
     fs = ["f0", "f1", "f2", "f3"]
-    unique = sig.groupBy(*fs).agg(F.min("doc_id").alias("rep"))
-    blocks = [F.lit(t * 2**BLOCK) + F.shiftrightunsigned(fs[t // 4], 16 * (t % 4)).bitwiseAND(0xFFFF) for t in range(BITS // BLOCK)]
-    tables = unique.select("rep", *fs, F.explode(F.array(*blocks)).alias("key")).repartition("key")
-    return sig, components(tables.mapInArrow(_search(max_distance), "a long, b long"))
+    unique = cut(sig.groupBy(*fs).agg(F.min("doc_id").alias("rep")), "fingerprints")
+    keyed = unique.mapInArrow(_keyed(tables(unique.count(), max_distance)), "key long, rep long, f0 long, f1 long, f2 long, f3 long").repartition("key").sortWithinPartitions("key")
+    return sig, components(keyed.mapInArrow(_search(max_distance), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, group_id) for every document that has a near or exact copy; group_id is the least doc_id of its group.
 
     Groups are the connected components of pairs within max_distance bits. A row of null doc_id or without any word has no
-    fingerprint and is in no group. Rows that repeat a doc_id are members of their group once for each.
-    Tables without rows give no rows; further columns don't matter.
+    fingerprint and is in no group. Rows that repeat a doc_id are members of their group once for each. Very long texts are
+    signed whole. Tables without rows give no rows; further columns don't matter, whatever their names.
     """
     sig, root = groups(docs, max_distance)
     fs = ["f0", "f1", "f2", "f3"]
@@ -194,25 +246,29 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
 
 
 def deduplicate(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """docs without all but one document of each group: the one of the least doc_id (of rows that repeat it, one).
+    """docs without all but one document of each group: the one of the least doc_id.
 
-    Null ids and texts without words stay. All columns stay as they are.
+    Of rows that repeat that doc_id the text of least hash stays, and of rows that repeat both the one of the least hash over
+    all columns (but maps). Null ids and texts without words stay. All columns stay as they are, whatever their names; an
+    empty table stays empty.
     """
     sig, root = groups(docs, max_distance)
     fs = ["f0", "f1", "f2", "f3"]
     member = sig.join(sig.groupBy(*fs).agg(F.min("doc_id").alias("node")), fs).join(root, "node", "left")
     rows = member.groupBy(F.coalesce("root", "node").alias("g"), "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     least = rows.groupBy("g").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    verdict = rows.join(least, "g").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.struct("doc_id", "text_hash") == F.col("first")).alias("__stays"), (F.col("n") > 1).alias("__again"))
-    verdict = cut(verdict.where("not __stays or __again"), "verdict")
+    own_id, own_hash, told_id, told_hash, stays, again, whole = unused(docs, "id0", "hash0", "id", "hash", "stays", "again", "whole")
+    verdict = rows.join(least, "g").select(F.col("doc_id").alias(told_id), F.col("text_hash").alias(told_hash), (F.struct("doc_id", "text_hash") == F.col("first")).alias(stays), (F.col("n") > 1).alias(again))
+    verdict = cut(verdict.where(~F.col(stays) | F.col(again)), "verdict")
     names = docs.columns
-    keyed = docs.withColumns({"__id0": F.col("doc_id").cast("long"), "__hash0": F.xxhash64(F.col("text").cast("string"))})
-    hit = (F.col("__id0") == F.col("__id")) & (F.col("__hash0") == F.col("__hash"))
+    keyed = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64(F.col("text").cast("string"))})
+    hit = (F.col(own_id) == F.col(told_id)) & (F.col(own_hash) == F.col(told_hash))
     # whole rows are exchanged once, by hash, at every size: the rows to drop are too many to broadcast when there are many documents
-    out = keyed.join(verdict.where("not __stays").hint("shuffle_hash"), hit, "left_anti")
-    again = verdict.where("__stays")
-    if again.isEmpty():
+    out = keyed.join(verdict.where(~F.col(stays)).hint("shuffle_hash"), hit, "left_anti")
+    repeated = verdict.where(stays)
+    if repeated.isEmpty():
         return out.select(*names)
-    once = out.join(again, hit, "left_semi").dropDuplicates(["__id0", "__hash0"])
-    return out.join(again, hit, "left_anti").unionByName(once).select(*names)
-
+    sortable = [c for c, kind in docs.dtypes if "map<" not in kind]
+    first = F.min_by(F.struct(*names), F.xxhash64(*sortable)).alias(whole)
+    kept = out.join(repeated, hit, "left_semi").groupBy(own_id, own_hash).agg(first).select(f"{whole}.*")
+    return out.join(repeated, hit, "left_anti").select(*names).unionByName(kept)

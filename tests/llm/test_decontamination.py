@@ -33,7 +33,7 @@ def make():
         docs.append((i, " ".join(own)))
     items = [(i, " ".join(t)) for i, t in items]
     docs += [docs[1], docs[1], (None, items[0][1]), (900, None), (901, ""), (902, "z " * 200000 + items[3][1])]
-    return docs, items + [items[5], (100, None), (None, items[0][1]), (101, "too short"), (102, "")]
+    return docs, items + [items[5], (500, None), (None, items[0][1]), (501, "too short"), (502, "")]
 
 
 def test_leaks_match_brute_force(spark, monkeypatch):
