@@ -32,7 +32,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents"))
+    return pii.replace(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
