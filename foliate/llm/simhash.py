@@ -25,7 +25,7 @@ FAN = 8
 #: The probability that a pair of exactly MAX_DISTANCE differing bits meets in no table; it falls steeply below.
 MISS = 1e-3
 #: Fingerprints of a key that there are on average, as a power of two; rows of whole keys that are searched at once.
-CROWD, CHUNK = 3, 200_000
+CROWD, CHUNK = 5, 200_000
 _LANES = np.array([int.from_bytes(bytes((b >> j) & 1 for j in range(8)), "little") for b in range(256)], dtype=np.uint64)
 
 
@@ -175,12 +175,12 @@ def _keyed(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.int64(1) << np.arange(bits.shape[1], dtype=np.int64)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                batch = whole.slice(k, 2048)
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
                 f = np.stack([batch.column(f"f{k}").to_numpy() for k in range(4)], axis=1)
                 on = np.unpackbits(f.view(np.uint8), axis=1, bitorder="little")
-                for t in range(0, len(bits), 16):
-                    some = bits[t : t + 16]
+                for t in range(0, len(bits), 64):  # a fingerprint's rows side by side, which compresses them
+                    some = bits[t : t + 64]
                     key = on[:, some].astype(np.int64) @ weight + (np.arange(t, t + len(some), dtype=np.int64) << np.int64(bits.shape[1]))
                     again = np.repeat(np.arange(len(f)), len(some))
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("rep").take(pa.array(again)), *(pa.array(f[again, j]) for j in range(4))], names=["key", "rep", "f0", "f1", "f2", "f3"])
