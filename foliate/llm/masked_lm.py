@@ -1,9 +1,13 @@
 """Operator 4: masked pseudo-likelihood by a bidirectional window network trained in numpy.
 
 Every token is predicted from the tokens on both sides of it; a document's score is the sum of the logarithms of these
-conditional probabilities. The vocabulary is counted over all documents. The network is trained on all documents: in each
-round every partition masks a share of its positions, drawn by hash, and descends on their loss; the partitions' networks
-are averaged, weighted by the positions they saw.
+conditional probabilities. Words are counted over all documents. The network predicts the most frequent words themselves and
+of the others the shape; a word's share in its shape's count, for which tokens are joined to the counts, completes the probability
+of every word of the corpus.
+
+Documents are encoded once, and gathered by hash in units of about UNIT tokens. Each round masks its share of every unit's
+positions, so that all rounds mask each position once; a unit descends on their loss from the network of the last round, and the
+units' networks are averaged, weighted by positions, in whole numbers: the result doesn't depend on partitions or their order.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64
+from .shared import cut, free, mix64, once, slices
 
 #: Output classes and tokens of a class: a token's probability is that of its class times that within the class.
 CLASSES, WIDTH = 64, 64
@@ -27,12 +32,18 @@ VOCABULARY = CLASSES * WIDTH
 SHAPES = 512
 #: Tokens on each side of the one that is predicted, and the sizes of the network's layers.
 SIDE, EMBED, HIDDEN = 2, 32, 32
-#: Rounds of training, and the share of positions that each masks.
-ROUNDS, MASKED = 2, 0.075
+#: Rounds of training; each masks other positions, all rounds together every one.
+ROUNDS = 4
+#: Tokens of a unit of training, on average.
+UNIT = 2_000_000
 RATE, BATCH, CLIP = 0.1, 4096, 1.0
 EDGE = VOCABULARY  # the token outside of a text
 KEPT_WORDS, COUNTED_WORDS = 300_000, 400_000
 PIECES = 64
+#: Weights are averaged as whole multiples of 2^-GRAIN; a unit counts by thousands of positions.
+GRAIN = 20
+#: A tail word's logarithm of its count, as a whole multiple of 2^-GRAIN.
+SPLIT = 12  # bits of a coded word that hold its token; the others hold the hash of a word outside the vocabulary
 
 NAMES = ("embed", "place", "w", "b", "c", "cb", "o", "ob")
 
@@ -47,24 +58,28 @@ def shape(word: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{min(len(word), 13)} {word[-2:]}") % SHAPES
 
 
+def tail_hash(word: str) -> int:
+    """52 bits: what shiftright(xxhash64(word), 12) is in columns."""
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)
+    return (h - 2**64 if h >= 2**63 else h) >> SPLIT
+
+
 class Coder(dict):
-    """Words to token numbers: the most frequent words first, then the shapes."""
+    """Words to token numbers, the most frequent words first, then the shapes; above SPLIT bits the hashes of words that have only a shape."""
 
     def __init__(self, vocabulary: list[str]):
-        super().__init__((w, k) for k, w in enumerate(vocabulary))
-        self.shapes: dict[str, int] = {}
+        self.own = {w: k for k, w in enumerate(vocabulary)}
+        super().__init__(self.own)
 
     def __missing__(self, word: str) -> int:
-        key = f"{min(len(word), 13)} {word[-2:]}"
-        if (k := self.shapes.get(key)) is None:
-            if len(self.shapes) > KEPT_WORDS:
-                self.shapes.clear()
-            k = self.shapes[key] = VOCABULARY - SHAPES + shape(word)
+        if len(self) > KEPT_WORDS:
+            self.clear()
+            self.update(self.own)
+            if (k := self.get(word)) is not None:
+                return k
+        k = self[word] = (tail_hash(word) << SPLIT) | (VOCABULARY - SHAPES + shape(word))
         return k
 
-    def encode(self, text: str | None) -> list[int]:
-        return list(map(self.__getitem__, tokens(text)))
-
 
 def fresh() -> dict[str, np.ndarray]:
     r = np.random.default_rng(7)
@@ -85,82 +100,97 @@ def start(counts: np.ndarray) -> dict[str, np.ndarray]:
 
 def contexts(ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each position `at` of texts put one after the other, the tokens on both sides."""
-    begin = np.repeat(np.cumsum(lengths) - lengths, lengths)[at]
-    end = np.repeat(np.cumsum(lengths), lengths)[at]
-    out = np.empty((len(at), 2 * SIDE), dtype=np.int64)
-    for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        x = at + step
-        inside = (x >= begin) & (x < end)
-        out[:, k] = np.where(inside, ids[np.where(inside, x, 0)], EDGE)
-    return out
-
-
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = x - x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    total = e.sum(axis=1, keepdims=True)
-    return x - np.log(total), e / total
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    padded = np.full(len(ids) + SIDE * (len(lengths) + 1), EDGE, dtype=ids.dtype)
+    place = np.arange(len(ids)) + SIDE * (text + 1)
+    padded[place] = ids
+    return padded[place[at][:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])]
 
 
 def hidden(net: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = net["embed"][around[:, 0]] * net["place"][0]
+    x = net["embed"].take(around[:, 0], axis=0)
+    x *= net["place"][0]
     for k in range(1, 2 * SIDE):
-        x += net["embed"][around[:, k]] * net["place"][k]
+        y = net["embed"].take(around[:, k], axis=0)
+        y *= net["place"][k]
+        x += y
     return x, np.tanh(x @ net["w"] + net["b"])
 
 
+def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of rows by class, and (class, begin, end) of those that occur."""
+    order = np.argsort(of.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=CLASSES))
+    return order, [(c, int(e - n), int(e)) for c, (e, n) in enumerate(zip(ends, np.diff(ends, prepend=0))) if n]
+
+
 def log_probabilities(net: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | the tokens around it)."""
     out = np.empty(len(target), dtype=np.float64)
-    for k in range(0, len(target), 65536):
-        t = target[k : k + 65536]
-        h = hidden(net, around[k : k + 65536])[1]
-        of, inner = t // WIDTH, t % WIDTH
+    for k in range(0, len(target), BATCH):
+        t = target[k : k + BATCH].astype(np.int64)
+        h = hidden(net, around[k : k + BATCH])[1]
+        order, parts = _by_class(t // WIDTH)
+        t, h = t[order], h[order]
         rows = np.arange(len(t))
-        logits = h @ net["c"] + net["cb"]
-        top = logits.max(axis=1)
-        p = logits[rows, of] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        order = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            j = order[ends[c] : ends[c + 1]]
-            logits = h[j] @ net["o"][c] + net["ob"][c]
-            top = logits.max(axis=1)
-            p[j] += logits[np.arange(len(j)), inner[j]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        out[k : k + 65536] = p
+        within = np.empty((len(t), WIDTH), dtype=h.dtype)
+        for c, a, b in parts:
+            np.matmul(h[a:b], net["o"][c], out=within[a:b])
+            within[a:b] += net["ob"][c]
+        p = 0.0
+        for logits, at in ((h @ net["c"] + net["cb"], t // WIDTH), (within, t % WIDTH)):
+            own = logits[rows, at]
+            top = logits.max(axis=1, keepdims=True)
+            logits -= top
+            np.exp(logits, out=logits)
+            p = p + own - top[:, 0] - np.log(logits.sum(axis=1))
+        out[k + order] = p
     return out
 
 
+def _softmax(x: np.ndarray, rows: np.ndarray, at: np.ndarray) -> float:
+    """Turns logits into probabilities less the target, in place; returns the loss."""
+    own = x[rows, at] - (top := x.max(axis=1, keepdims=True))[:, 0]
+    x -= top
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    x /= total
+    x[rows, at] -= 1
+    return float((np.log(total[:, 0]) - own).sum())
+
+
 def gradients(net: dict[str, np.ndarray], around: np.ndarray, t: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """The mean loss of a batch and its gradients."""
-    n = len(t)
+    n, t = len(t), t.astype(np.int64)
+    order, parts = _by_class(t // WIDTH)
+    around, t = around[order], t[order]
     x, h = hidden(net, around)
-    of, inner, rows = t // WIDTH, t % WIDTH, np.arange(n)
-    log_p, p = _softmax(h @ net["c"] + net["cb"])
-    loss = -log_p[rows, of].sum()
-    p[rows, of] -= 1
+    rows = np.arange(n)
+    p = h @ net["c"] + net["cb"]
+    loss = _softmax(p, rows, t // WIDTH)
     g = {"c": h.T @ p, "cb": p.sum(axis=0), "o": np.zeros_like(net["o"]), "ob": np.zeros_like(net["ob"])}
     dh = p @ net["c"].T
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(ends)):
-        j = order[ends[c] : ends[c + 1]]
-        log_q, q = _softmax(h[j] @ net["o"][c] + net["ob"][c])
-        inside = np.arange(len(j))
-        loss -= log_q[inside, inner[j]].sum()
-        q[inside, inner[j]] -= 1
-        g["o"][c], g["ob"][c] = h[j].T @ q, q.sum(axis=0)
-        dh[j] += q @ net["o"][c].T
-    da = dh * (1 - h * h)
-    g["w"], g["b"] = x.T @ da, da.sum(axis=0)
-    dx = da @ net["w"].T
+    q = np.empty((n, WIDTH), dtype=h.dtype)
+    for c, a, b in parts:
+        np.matmul(h[a:b], net["o"][c], out=q[a:b])
+        q[a:b] += net["ob"][c]
+    loss += _softmax(q, rows, t % WIDTH)
+    for c, a, b in parts:
+        np.matmul(h[a:b].T, q[a:b], out=g["o"][c])
+        g["ob"][c] = q[a:b].sum(axis=0)
+        dh[a:b] += q[a:b] @ net["o"][c].T
+    dh *= 1 - h * h
+    g["w"], g["b"] = x.T @ dh, dh.sum(axis=0)
+    dx = dh @ net["w"].T
     g["embed"], g["place"] = np.zeros_like(net["embed"]), np.zeros_like(net["place"])
     for k in range(2 * SIDE):
-        g["place"][k] = (dx * net["embed"][around[:, k]]).sum(axis=0)
-        by = np.argsort(around[:, k], kind="stable")
+        g["place"][k] = np.einsum("ij,ij->j", dx, net["embed"].take(around[:, k], axis=0))
+        by = np.argsort(around[:, k].astype(np.uint16), kind="stable")
         ids = around[by, k]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        g["embed"][ids[first]] += np.add.reduceat(dx[by] * net["place"][k], first, axis=0)
+        sums = np.add.reduceat(dx.take(by, axis=0), first, axis=0)
+        sums *= net["place"][k]
+        g["embed"][ids[first]] += sums
     return loss / n, {k: v / n for k, v in g.items()}
 
 
@@ -170,29 +200,19 @@ class Trainer:
     def __init__(self, net: dict[str, np.ndarray]):
         self.net = {k: v.copy() for k, v in net.items()}
         self.seen = {k: np.full_like(v, 1e-4) for k, v in net.items()}
-        self.positions, self.around, self.target, self.waiting = 0, [], [], 0
-
-    def add(self, around: np.ndarray, target: np.ndarray, last: bool = False) -> None:
-        self.around.append(around)
-        self.target.append(target)
-        self.waiting += len(target)
-        if self.waiting < BATCH and not (last and self.waiting):
-            return
-        around, target = np.concatenate(self.around), np.concatenate(self.target)
-        k = 0
-        while len(target) - k >= BATCH or last and k < len(target):
-            self._step(around[k : k + BATCH], target[k : k + BATCH])
-            k += BATCH
-        self.around, self.target, self.waiting = [around[k:]], [target[k:]], max(0, len(target) - k)
-
-    def _step(self, around: np.ndarray, target: np.ndarray) -> None:
-        _, g = gradients(self.net, around, target)
-        for k, v in g.items():
-            norm = math.sqrt(float((v * v).sum()))
-            v *= np.float32(min(1.0, CLIP / max(norm, 1e-12)))
-            self.seen[k] += v * v
-            self.net[k] -= np.float32(RATE) * v / np.sqrt(self.seen[k])
-        self.positions += len(target)
+
+    def train(self, around: np.ndarray, target: np.ndarray) -> None:
+        for k in range(0, len(target), BATCH):
+            _, g = gradients(self.net, around[k : k + BATCH], target[k : k + BATCH])
+            for name, v in g.items():
+                norm = math.sqrt(float(np.vdot(v, v)))
+                if norm > CLIP:
+                    v *= v.dtype.type(CLIP / norm)
+                seen = self.seen[name]
+                seen += v * v
+                v *= v.dtype.type(RATE)
+                v /= np.sqrt(seen)
+                self.net[name] -= v
 
 
 def flat(net: dict[str, np.ndarray]) -> np.ndarray:
@@ -207,6 +227,16 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+@dataclass
+class Fitted:
+    """vocabulary: words by falling frequency, ties in order of the words; counts: of all tokens; words(word, n): of all words."""
+
+    vocabulary: list[str]
+    counts: np.ndarray
+    words: DataFrame
+    net: np.ndarray | None = None
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: Counter[str] = Counter()
 
@@ -227,32 +257,115 @@ def _shape_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shape(w) for w in batch.column(0).to_pylist()], pa.int32()), batch.column(1)], names=["shape", "n"])
 
 
-def masked(hashes: np.ndarray, lengths: np.ndarray, turn: int, share: float) -> np.ndarray:
-    """The positions that a round masks, by hash of text and place; every round masks others."""
-    offset = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = mix64(np.repeat(hashes, lengths) + offset.astype(np.uint64))
-    place = (at >> np.uint64(11)).astype(np.float64) / 2**53
-    return np.flatnonzero((place >= turn * share) & (place < (turn + 1) * share))
+def counted(docs: DataFrame) -> Fitted:
+    """Words and tokens counted over all documents.
+
+    A histogram of the logarithms of counts (some thousand cells) tells above which count the most frequent words lie, so that no
+    more than those and the last cell's go through a sort.
+    """
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    words = cut(text.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    most = VOCABULARY - SHAPES
+    cell = F.floor(F.log2("n") * 64)
+    upto, least = 0, 0
+    for r in sorted(words.groupBy(cell.alias("cell")).count().collect(), reverse=True):
+        upto, least = upto + r["count"], r.cell
+        if upto >= most:
+            break
+    top = words.where(cell >= least).repartition(16, "word").orderBy(F.desc("n"), "word").limit(most).collect()
+    counts = np.zeros(VOCABULARY)
+    for r in words.mapInArrow(_shape_words, "shape int, n long").groupBy("shape").agg(F.sum("n").alias("n")).collect():
+        counts[VOCABULARY - SHAPES + r.shape] = r.n
+    for k, r in enumerate(top):
+        counts[k] = r.n
+        counts[VOCABULARY - SHAPES + shape(r.word)] -= r.n
+    return Fitted([r.word for r in top], counts, words)
 
 
-def _train(told, turn: int, share: float):
+def _encode(told):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, values = told.value
-        coder, trainer = Coder(vocabulary), Trainer(unflat(values))
+        coder = once(told, Coder)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                texts = whole.column(0).slice(k, 500).to_pylist()
-                every = [coder.encode(t) for t in texts]
+            for batch in slices(whole, 1):
+                texts = batch.column(1).to_pylist()
+                every = [list(map(coder.__getitem__, tokens(t))) for t in texts]
                 lengths = np.array([len(x) for x in every], dtype=np.int64)
-                ids = np.fromiter((i for x in every for i in x), np.int64, int(lengths.sum()))
-                hashes = np.array([xxhash.xxh3_64_intdigest(t or "") for t in texts], dtype=np.uint64)
-                at = masked(hashes, lengths, turn, share)
-                if len(at):
-                    trainer.add(contexts(ids, lengths, at), ids[at])
-        trainer.add(np.zeros((0, 2 * SIDE), np.int64), np.zeros(0, np.int64), last=True)
-        if trainer.positions:
-            parts = np.array_split(flat(trainer.net), PIECES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([float(trainer.positions)] * PIECES), pa.array([p.tobytes() for p in parts], pa.binary())], names=["piece", "weight", "net"])
+                code = np.fromiter((i for x in every for i in x), np.int64, int(lengths.sum()))
+                ids = (code & (2**SPLIT - 1)).astype(np.uint16)
+                owner = np.repeat(np.arange(len(every)), lengths)
+                rare = ids >= VOCABULARY - SHAPES
+                owner, tail = owner[rare], code[rare] >> SPLIT
+                order = np.lexsort((tail, owner))
+                owner, tail = owner[order], tail[order]
+                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (tail[1:] != tail[:-1])]) if len(owner) else np.zeros(0, dtype=np.int64)
+                times = np.diff(np.r_[first, len(owner)])
+                at = np.searchsorted(owner[first], np.arange(len(every) + 1)).astype(np.int32)
+                begin = np.r_[0, np.cumsum(lengths)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), pa.array([xxhash.xxh3_64_intdigest(t or "") - 2**63 for t in texts], pa.int64()), pa.array(lengths), pa.array([ids[a:b].tobytes() for a, b in zip(begin, begin[1:])], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(at), pa.array(tail[first])), pa.ListArray.from_arrays(pa.array(at), pa.array(times.astype(np.int32))),
+                    ],
+                    names=["doc_id", "hash", "tokens", "ids", "tail", "times"],
+                )
+
+    return run
+
+
+def encoded(docs: DataFrame, model: Fitted) -> DataFrame:
+    """(row, doc_id, hash of the text, tokens, ids, hashes of the words outside the vocabulary, how often each occurs), written once."""
+    told = docs.sparkSession.sparkContext.broadcast(model.vocabulary)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    coded = rows.mapInArrow(_encode(told), "doc_id long, hash long, tokens long, ids binary, tail array<long>, times array<int>")
+    return cut(coded.select(F.monotonically_increasing_id().alias("row"), "*"), "encoded")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one unit, which come one after the other, as one row; repeated rows count once."""
+    unit, last = None, None
+    held: list[tuple[int, bytes]] = []
+
+    def told() -> pa.RecordBatch:
+        values = [[unit], [np.array([h for h, _ in held], dtype=np.int64).tobytes()], [np.array([len(x) // 2 for _, x in held], dtype=np.int64).tobytes()], [b"".join(x for _, x in held)]]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 3])], names=["unit", "hashes", "lengths", "ids"])
+
+    for batch in batches:
+        for u, h, i, ids in zip(*(batch.column(c).to_pylist() for c in ("unit", "hash", "doc_id", "ids"))):
+            if (u, h, i) == last:
+                continue
+            last = (u, h, i)
+            if u != unit and held:
+                yield told()
+                held = []
+            unit = u
+            held.append((h, ids))
+    if held:
+        yield told()
+
+
+def masked(hashes: np.ndarray, lengths: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The positions that a round masks, by hash of text and place: those of all rounds are all, none twice."""
+    offset = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.flatnonzero(mix64(np.repeat(hashes, lengths) + offset.astype(np.uint64)) % np.uint64(rounds) == turn)
+
+
+def _train(told, turn: int, rounds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = unflat(told.value)
+        total, weight = None, 0
+        for batch in batches:
+            for hashes, lengths, ids in zip(*(batch.column(c).to_pylist() for c in ("hashes", "lengths", "ids"))):
+                hashes, lengths, ids = np.frombuffer(hashes, dtype=np.uint64), np.frombuffer(lengths, dtype=np.int64), np.frombuffer(ids, dtype=np.uint16)
+                at = masked(hashes, lengths, turn, rounds)
+                if not len(at):
+                    continue
+                trainer = Trainer(net)
+                trainer.train(contexts(ids, lengths, at), ids[at])
+                w = 1 + len(at) // 1000
+                part = np.rint(flat(trainer.net).astype(np.float64) * 2**GRAIN).astype(np.int64) * w
+                total, weight = part if total is None else total + part, weight + w
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([weight] * PIECES), pa.array([p.tobytes() for p in np.array_split(total, PIECES)], pa.binary())], names=["piece", "weight", "net"])
 
     return run
 
@@ -262,70 +375,82 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight: Counter[int] = Counter()
     for batch in batches:
         for piece, w, net in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            x = np.frombuffer(net, dtype=np.float32) * w
+            x = np.frombuffer(net, dtype=np.int64)
             total[piece] = total[piece] + x if piece in total else x
             weight[piece] += w
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([(x / weight[p]).astype(np.float32).tobytes() for p, x in total.items()], pa.binary())], names=["piece", "net"])
+    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([(x / weight[p] / 2**GRAIN).astype(np.float32).tobytes() for p, x in total.items()], pa.binary())], names=["piece", "net"])
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, share: float = MASKED) -> tuple[list[str], np.ndarray]:
-    """(vocabulary, network): words by falling frequency, ties in order of the words."""
-    text = docs.select(F.col("text").cast("string").alias("text"))
-    words = text.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = words.persist()
-    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY - SHAPES).collect()  # a fixed number of rows
-    shapes = words.mapInArrow(_shape_words, "shape int, n long").groupBy("shape").agg(F.sum("n").alias("n")).collect()
-    words.unpersist()
-    vocabulary = [r.word for r in top]
-    counts = np.zeros(VOCABULARY)
-    for r in shapes:
-        counts[VOCABULARY - SHAPES + r.shape] = r.n
-    for k, r in enumerate(top):
-        counts[k] = r.n
-        counts[VOCABULARY - SHAPES + shape(r.word)] -= r.n
-    net = flat(start(counts))
+def trained(coded: DataFrame, model: Fitted, rounds: int = ROUNDS) -> Fitted:
+    """The model with a network trained on every position of the encoded documents once; documents of one id and text count once."""
+    spark = coded.sparkSession
+    model.net = flat(start(model.counts))
+    many = max(1, round(float(model.counts.sum()) / UNIT))
+    own = coded.where("tokens > 0").select(F.pmod(F.xxhash64("hash", "doc_id"), F.lit(many)).alias("unit"), "hash", "doc_id", "ids")
+    units = own.repartition("unit").sortWithinPartitions("unit", "hash", "doc_id").mapInArrow(_units, "unit long, hashes binary, lengths binary, ids binary")
+    units = cut(units, "units")
     for turn in range(rounds):
-        told = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
-        trained = text.mapInArrow(_train(told, turn, share), "piece int, weight double, net binary")
-        pieces = {r.piece: r.net for r in trained.repartition("piece").mapInArrow(_average, "piece int, net binary").collect()}
+        told = spark.sparkContext.broadcast(model.net)
+        found = units.mapInArrow(_train(told, turn, rounds), "piece int, weight long, net binary")
+        pieces = {r.piece: r.net for r in found.repartition("piece").mapInArrow(_average, "piece int, net binary").collect()}  # the network, of fixed size
         if not pieces:
             break
-        net = np.concatenate([np.frombuffer(pieces[k], dtype=np.float32) for k in range(PIECES)])
-    return vocabulary, net
+        model.net = np.concatenate([np.frombuffer(pieces[k], dtype=np.float32) for k in range(PIECES)])
+    free(units)
+    return model
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> Fitted:
+    model = counted(docs)
+    return trained(encoded(docs, model), model, rounds)
 
 
 def _score(told):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, values = told.value
-        coder, net = Coder(vocabulary), unflat(values)
+        net, counts = told.value
+        net, share = unflat(net), np.where(np.arange(VOCABULARY) < VOCABULARY - SHAPES, 0.0, -np.log(np.maximum(counts, 1)))
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                every = [coder.encode(t) for t in batch.column(1).to_pylist()]
+            for batch in slices(whole, "ids", size=2_000_000):
+                every = [np.frombuffer(x, dtype=np.uint16) for x in batch.column("ids").to_pylist()]
                 lengths = np.array([len(x) for x in every], dtype=np.int64)
-                ids = np.fromiter((i for x in every for i in x), np.int64, int(lengths.sum()))
+                ids = np.concatenate(every) if every else np.zeros(0, dtype=np.uint16)
                 sums = np.zeros(len(every))
                 owner = np.repeat(np.arange(len(every)), lengths)
-                for j in range(0, len(ids), 262144):
-                    at = np.arange(j, min(j + 262144, len(ids)))
-                    sums += np.bincount(owner[at], log_probabilities(net, contexts(ids, lengths, at), ids[at]), len(every))
-                mean = pa.array([s / n if n else None for s, n in zip(sums, lengths)], pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(sums), mean], names=["doc_id", "tokens", "log_likelihood", "per_token"])
+                around = contexts(ids, lengths, np.arange(len(ids)))
+                if len(ids):
+                    sums += np.bincount(owner, log_probabilities(net, around, ids) + share[ids], len(every))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "tokens")), pa.array(sums)], names=["row", "doc_id", "tokens", "net"])
 
     return run
 
 
-def score(docs: DataFrame, vocabulary: list[str], net: np.ndarray) -> DataFrame:
-    told = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(told), "doc_id long, tokens long, log_likelihood double, per_token double")
+def scored(coded: DataFrame, model: Fitted) -> DataFrame:
+    """The network's sums, and beside them those of the logarithms of the counts of words outside the vocabulary.
+
+    The latter are summed as whole numbers, so in any order. Words that occur once, or that the model never saw, add nothing.
+    """
+    told = coded.sparkSession.sparkContext.broadcast((model.net, model.counts))
+    net = coded.select("row", "doc_id", "tokens", "ids").mapInArrow(_score(told), "row long, doc_id long, tokens long, net double")
+    known = model.words.where("n > 1").groupBy(F.shiftright(F.xxhash64("word"), SPLIT).alias("word")).agg(F.round(F.log(F.sum("n")) * 2**GRAIN).cast("long").alias("log"))
+    rare = coded.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), "t.times")
+    tail = rare.join(known, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("tail"))
+    total = F.col("net") + F.coalesce(F.col("tail") / 2**GRAIN, F.lit(0.0))
+    out = net.join(tail, "row", "left").select("doc_id", "tokens", total.alias("log_likelihood"))
+    return out.withColumn("per_token", F.when(F.col("tokens") > 0, F.col("log_likelihood") / F.col("tokens")))
+
+
+def score(docs: DataFrame, model: Fitted) -> DataFrame:
+    return scored(encoded(docs, model), model)
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, share: float = MASKED) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, tokens, log_likelihood, per_token) for every row of docs.
 
     Each token is predicted from two tokens on either side, a mark standing for those outside the text. A null or empty text
-    has no tokens: its log-likelihood is 0 and per_token is null. Null ids and repeated rows are scored like others (and
-    train the network each); an empty table gives no rows; further columns don't matter.
+    has no tokens: its log-likelihood is 0 and per_token is null. Null ids and repeated rows are scored like others; rows
+    of one id and text train the network once. Very long texts are read whole. An empty table gives no rows; further columns
+    don't matter. But for the rounding of single sums the result is the same however the rows are partitioned or ordered.
     """
-    return score(docs, *fit(docs, rounds, share))
+    model = counted(docs)
+    coded = encoded(docs, model)
+    return scored(coded, trained(coded, model, rounds))

@@ -30,26 +30,32 @@ def tables(spark):
 
 def test_scores_are_sums_of_conditionals_and_tell_order(spark, tables):
     rows, docs = tables
-    vocabulary, values = M.fit(docs, rounds=5, share=0.2)
+    model = M.fit(docs, rounds=5)
+    vocabulary, values = model.vocabulary, model.net
     counts = Counter(w for _, t in rows for w in (t or "").lower().split())
     assert vocabulary == sorted(counts, key=lambda w: (-counts[w], w))[: M.VOCABULARY - M.SHAPES]
     net = {k: v.astype(float) for k, v in M.unflat(values).items()}
     number = {w: k for k, w in enumerate(vocabulary)}
 
+    shapes = Counter()
+    for w, n in counts.items():
+        shapes[M.shape(w)] += n * (w not in number)
+
     def softmax(x):
         e = [math.exp(v) for v in x]
         return [v / sum(e) for v in e]
 
     def brute(text):
-        ids = [number.get(w, M.VOCABULARY - M.SHAPES + M.shape(w)) for w in (text or "").lower().split()]
-        total = 0.0
+        own = (text or "").lower().split()
+        ids = [number.get(w, M.VOCABULARY - M.SHAPES + M.shape(w)) for w in own]
+        total = sum(math.log(counts[w] / shapes[M.shape(w)]) for w in own if w not in number)
         for k, t in enumerate(ids):
             x = sum(net["embed"][ids[k + s] if 0 <= k + s < len(ids) else M.EDGE] * net["place"][j] for j, s in enumerate((-2, -1, 1, 2)))
             h = np.tanh(x @ net["w"] + net["b"])
             total += math.log(softmax(h @ net["c"] + net["cb"])[t // M.WIDTH]) + math.log(softmax(h @ net["o"][t // M.WIDTH] + net["ob"][t // M.WIDTH])[t % M.WIDTH])
         return len(ids), total
 
-    got = M.score(docs, vocabulary, values).collect()
+    got = M.score(docs, model).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     text = dict(rows)
     for r in got:
@@ -61,7 +67,7 @@ def test_scores_are_sums_of_conditionals_and_tell_order(spark, tables):
     r = random.Random(60)
     held = [chain(r, 200) for _ in range(20)]
     mixed = [" ".join(r.sample(t.split(), len(t.split()))) for t in held]
-    each = lambda texts: np.array([x.per_token for x in sorted(M.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), vocabulary, values).collect())])
+    each = lambda texts: np.array([x.per_token for x in sorted(M.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect())])
     total = sum(counts.values())
     unigram = np.mean([math.log(max(counts[w], 1) / total) for t in held for w in t.split() if w in number])
     assert each(held).mean() > unigram + 1 and (each(held) > each(mixed) + 0.3).all()
@@ -85,10 +91,45 @@ def test_gradients():
             assert abs((up - down) / 2 / eps - g[k].flat[at]) < 1e-5
 
 
-def test_rounds_mask_different_positions():
+def test_rounds_mask_every_position_once():
     lengths = np.array([1000, 0, 5000])
-    a, b = (M.masked(np.arange(3, dtype=np.uint64), lengths, k, 0.1) for k in (0, 1))
-    assert not set(a) & set(b) and 450 < len(a) < 750
+    found = [M.masked(np.arange(3, dtype=np.uint64), lengths, k, 4) for k in range(4)]
+    assert sorted(np.concatenate(found).tolist()) == list(range(6000)) and all(1300 < len(x) < 1700 for x in found)
+
+
+def test_contexts():
+    ids = np.array([1, 2, 3, 4, 5], dtype=np.uint16)
+    e = M.EDGE
+    assert M.contexts(ids, np.array([3, 0, 2]), np.arange(5)).tolist() == [[e, e, 2, 3], [e, 1, 3, e], [1, 2, e, e], [e, e, 5, e], [e, 4, e, e]]
+
+
+def test_hash_in_columns(spark):
+    for w in ("", "a", "größe", "x" * 100, "слово"):
+        assert spark.sql(f"select shiftright(xxhash64('{w}'), {M.SPLIT}) as h").first().h == M.tail_hash(w)
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    r = random.Random(16)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(i, " ".join(r.choice(common) if r.random() < 0.6 else f"t{r.randrange(9000)}" for _ in range(120))) for i in range(400)]
+    rare = lambda: "".join(r.choice("aeioubcdfghlmnprst") for _ in range(9))
+    rows += [(1000 + i, " ".join(r.choice(common) if r.random() < 0.6 else rare() for _ in range(120))) for i in range(40)]
+    rows += [(2000 + i, rows[400 + i][1]) for i in range(20)]  # 1000.. to 1019 occur twice
+    return rows
+
+
+def test_same_scores_in_any_partitioning(spark, many, monkeypatch):
+    monkeypatch.setattr(M, "UNIT", 10_000)
+    docs = spark.createDataFrame(many, "doc_id long, text string")
+    got = [sorted((r.doc_id, r.log_likelihood) for r in M.pseudo_likelihood(docs.repartition(n)).collect()) for n in (4, 16)]
+    assert [i for i, _ in got[0]] == [i for i, _ in got[1]] and max(abs(a[1] - b[1]) for a, b in zip(*got)) < 1e-4  # of about 1000
+
+
+def test_words_outside_the_vocabulary_are_told_apart(spark, many):
+    got = {r.doc_id: r.per_token for r in M.pseudo_likelihood(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    twice, single = [got[1000 + k] for k in range(20)], [got[1000 + k] for k in range(20, 40)]
+    assert np.mean(twice) > np.mean(single) + 0.1 and min(got[k] for k in range(400)) > np.mean(single)
 
 
 def test_empty(spark):
