@@ -42,8 +42,8 @@ KEPT_WORDS, COUNTED_WORDS = 300_000, 400_000
 PIECES = 64
 #: Weights are averaged as whole multiples of 2^-GRAIN; a unit counts by thousands of positions.
 GRAIN = 20
-#: A tail word's logarithm of its count, as a whole multiple of 2^-GRAIN.
-SPLIT = 12  # bits of a coded word that hold its token; the others hold the hash of a word outside the vocabulary
+#: Bits of a coded word that hold its token; the others hold the hash of a word outside the vocabulary.
+SPLIT = 12
 
 NAMES = ("embed", "place", "w", "b", "c", "cb", "o", "ob")
 
@@ -59,9 +59,8 @@ def shape(word: str) -> int:
 
 
 def tail_hash(word: str) -> int:
-    """52 bits: what shiftright(xxhash64(word), 12) is in columns."""
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)
-    return (h - 2**64 if h >= 2**63 else h) >> SPLIT
+    """52 bits: what shiftrightunsigned(xxhash64(word), 12) is in columns."""
+    return xxhash.xxh64_intdigest(word, 42) >> SPLIT
 
 
 class Coder(dict):
@@ -70,14 +69,18 @@ class Coder(dict):
     def __init__(self, vocabulary: list[str]):
         self.own = {w: k for k, w in enumerate(vocabulary)}
         super().__init__(self.own)
+        self.shapes: dict[str, int] = {}
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str, digest=xxhash.xxh64_intdigest) -> int:
         if len(self) > KEPT_WORDS:
             self.clear()
-            self.update(self.own)
-            if (k := self.get(word)) is not None:
-                return k
-        k = self[word] = (tail_hash(word) << SPLIT) | (VOCABULARY - SHAPES + shape(word))
+            self.update(self.own)  # so words of the vocabulary are never missing
+            self.shapes.clear()
+        form = f"{len(word)}{word[-2:]}"
+        if (k := self.shapes.get(form)) is None:
+            k = self.shapes[form] = VOCABULARY - SHAPES + shape(word)
+        k |= digest(word, 42) >> SPLIT << SPLIT
+        self[word] = k
         return k
 
 
@@ -108,12 +111,7 @@ def contexts(ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray
 
 
 def hidden(net: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = net["embed"].take(around[:, 0], axis=0)
-    x *= net["place"][0]
-    for k in range(1, 2 * SIDE):
-        y = net["embed"].take(around[:, k], axis=0)
-        y *= net["place"][k]
-        x += y
+    x = np.einsum("nkd,kd->nd", net["embed"].take(around, axis=0), net["place"])
     return x, np.tanh(x @ net["w"] + net["b"])
 
 
@@ -288,23 +286,25 @@ def _encode(told):
         for whole in batches:
             for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
-                every = [list(map(coder.__getitem__, tokens(t))) for t in texts]
-                lengths = np.array([len(x) for x in every], dtype=np.int64)
-                code = np.fromiter((i for x in every for i in x), np.int64, int(lengths.sum()))
-                ids = (code & (2**SPLIT - 1)).astype(np.uint16)
-                owner = np.repeat(np.arange(len(every)), lengths)
+                every, ends = [], [0]
+                for t in texts:
+                    every += tokens(t)
+                    ends.append(len(every))
+                lengths = np.diff(ends)
+                code = np.fromiter(map(coder.__getitem__, every), np.uint64, len(every))
+                ids = (code & np.uint64(2**SPLIT - 1)).astype(np.uint16)
                 rare = ids >= VOCABULARY - SHAPES
-                owner, tail = owner[rare], code[rare] >> SPLIT
-                order = np.lexsort((tail, owner))
-                owner, tail = owner[order], tail[order]
-                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (tail[1:] != tail[:-1])]) if len(owner) else np.zeros(0, dtype=np.int64)
-                times = np.diff(np.r_[first, len(owner)])
-                at = np.searchsorted(owner[first], np.arange(len(every) + 1)).astype(np.int32)
+                # one number for a text of the slice and a word
+                both = np.sort((np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)[rare] << np.uint64(64 - SPLIT)) | (code[rare] >> np.uint64(SPLIT)))
+                first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, dtype=np.int64)
+                times = np.diff(np.r_[first, len(both)])
+                at = np.searchsorted(both[first] >> np.uint64(64 - SPLIT), np.arange(len(texts) + 1, dtype=np.uint64)).astype(np.int32)
+                tail = (both[first] & np.uint64(2 ** (64 - SPLIT) - 1)).astype(np.int64)
                 begin = np.r_[0, np.cumsum(lengths)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array([xxhash.xxh3_64_intdigest(t or "") - 2**63 for t in texts], pa.int64()), pa.array(lengths), pa.array([ids[a:b].tobytes() for a, b in zip(begin, begin[1:])], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(tail[first])), pa.ListArray.from_arrays(pa.array(at), pa.array(times.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(at), pa.array(tail)), pa.ListArray.from_arrays(pa.array(at), pa.array(times.astype(np.int32))),
                     ],
                     names=["doc_id", "hash", "tokens", "ids", "tail", "times"],
                 )
@@ -431,7 +431,7 @@ def scored(coded: DataFrame, model: Fitted) -> DataFrame:
     """
     told = coded.sparkSession.sparkContext.broadcast((model.net, model.counts))
     net = coded.select("row", "doc_id", "tokens", "ids").mapInArrow(_score(told), "row long, doc_id long, tokens long, net double")
-    known = model.words.where("n > 1").groupBy(F.shiftright(F.xxhash64("word"), SPLIT).alias("word")).agg(F.round(F.log(F.sum("n")) * 2**GRAIN).cast("long").alias("log"))
+    known = model.words.where("n > 1").groupBy(F.shiftrightunsigned(F.xxhash64("word"), SPLIT).alias("word")).agg(F.round(F.log(F.sum("n")) * 2**GRAIN).cast("long").alias("log"))
     rare = coded.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), "t.times")
     tail = rare.join(known, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("tail"))
     total = F.col("net") + F.coalesce(F.col("tail") / 2**GRAIN, F.lit(0.0))
