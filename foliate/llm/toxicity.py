@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,16 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, words
+from .shared import cut, once, slices, words
 
 #: Labelled documents on which the lexicons are fitted, at most: those of the least hashed ids, languages taking turns.
 SAMPLE_ROWS = 20_000
 #: Share of a lexicon's words that may be there by accident, and the least ratio of a word's shares.
 ALPHA, RATIO = 0.05, 20
-ALPHABET = " abcdefghijklmnopqrstuvwxyzàâáäãåçèéêëìíîïñòóôöõøùúûüýÿßœæ"
+#: The language model's characters; any other counts as a blank.
+ALPHABET = " abcdefghijklmnopqrstuvwxyzàâáäãåçèéêëìíîïñòóôöõøùúûüýÿßœæабвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґαβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋ"
 N = len(ALPHABET)
 INDEX = {c: k for k, c in enumerate(ALPHABET)}
-_CODES = np.zeros(0x200, dtype=np.int64)
+_CODES = np.zeros(0x600, dtype=np.int64)
 for _c, _k in INDEX.items():
     _CODES[ord(_c)] = _k
 #: What a symbol may stand for, with the log-probability of the channel.
@@ -46,6 +48,9 @@ SPLIT = -1.0
 EDGE = ".,;:?!\"'`´“”„«»()[]{}<>…&%#*|~=/\\"
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+)+\S(?!\S)")
 TWIN = re.compile(r"([^\W\d_])\1")
+#: Letters of other scripts that look like Latin ones, read so in words that have Latin letters too.
+ALIKE = str.maketrans("аеорсухіјѕԁһкмтвнαοερκντυιχ", "aeopcyxijsdhkmtbhaoepkvtuix")
+FOREIGN, MIXED = re.compile(r"[Ͱ-ԯ]"), re.compile(r"(?=\S*[a-zß-ÿ])\S*[Ͱ-ԯ]\S*")
 UNSEEN = re.compile("[­​-‏⁠﻿]")
 KEPT_TOKENS = 200_000
 
@@ -76,6 +81,7 @@ class Model:
             w = f"    {w} "
             for k in range(4, len(w)):
                 self.after.setdefault(w[k - 4 : k], Counter())[w[k]] += 1
+        self.heads = {past[:3] for past in self.after}
         self.memo: dict[str, float] = {}
         self.steps: dict[str, float] = {}
         return self
@@ -98,8 +104,10 @@ class Model:
     def restore(self, token: str) -> str:
         """The likeliest text behind an obfuscated token or spaced run: Viterbi over its lattice.
 
-        One blank joins the characters beside it or parts two words; a wider one parts them, or rarely joins.
+        One blank joins the characters beside it or parts two words; a wider one parts them, or rarely joins. Of the characters
+        before, a state has only those that still matter to the model, so that there are few states and time is linear in the token.
         """
+        after, heads = self.after, self.heads
         best: dict[str, tuple[float, tuple | None]] = {"    ": (0.0, None)}
         k = 0
         while k < len(token):
@@ -126,6 +134,8 @@ class Model:
                         if not (y == " " and h[-1] == " "):
                             s += self.step(h, y)
                             h = "    " if y == " " else h[1:] + y
+                            if h not in after and y != " ":
+                                h = "\0" + h[1:] if h[1:] in heads else "\0\0" + h[2:]
                     if h not in new or s > new[h][0]:
                         new[h] = (s, (text, x))
             best = new
@@ -155,7 +165,9 @@ class Model:
             return 0.0
         text = text.lower()
         if not text.isascii():
-            text = UNSEEN.sub("", text)
+            text = UNSEEN.sub("", unicodedata.normalize("NFKC", text).lower())
+            if FOREIGN.search(text):
+                text = MIXED.sub(lambda m: m.group().translate(ALIKE), text)
         total, memo = 0.0, self.memo
         tokens = text.split()
         kinds = Counter(tokens)
@@ -204,10 +216,10 @@ class Model:
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(N**3, dtype=np.int64)
-    for batch in batches:
-        texts = [t for t in batch.column(0).to_pylist() if t]
-        for k in range(0, len(texts), 500):
-            x = np.frombuffer(("  " + "  ".join(texts[k : k + 500]).lower() + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
+    for whole in batches:
+        for batch in slices(whole, 0):
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            x = np.frombuffer(("  " + "  ".join(texts).lower() + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
             x = np.where(x < len(_CODES), _CODES[np.minimum(x, len(_CODES) - 1)], 0)
             total += np.bincount(x[:-2] * (N * N) + x[1:-1] * N + x[2:], minlength=N**3)
     seen = np.flatnonzero(total)
@@ -361,8 +373,8 @@ def _scorer(df: DataFrame, model: Model, keep: list[str] | None = None, pooled:
     told = df.sparkSession.sparkContext.broadcast((model.lexicon, model.grams, model.threshold, model.own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*told.value).prepare()
-        for batch in batches:
+        m = once(told, lambda fitted: Model(*fitted).prepare())
+        for batch in (x for whole in batches for x in slices(whole, whole.schema.get_field_index("text"))):
             texts, langs = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("text", "lang"))
             scores = np.array([m.of(k).score(t) for t, k in zip(texts, langs)], dtype=float)
             over = pa.array(scores > np.array([m.of(k).threshold for k in langs], dtype=float), pa.bool_())
@@ -381,8 +393,8 @@ def _scorer(df: DataFrame, model: Model, keep: list[str] | None = None, pooled:
 def toxic_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, score, toxic = true) of every document whose score exceeds the threshold of its language.
 
-    A null or empty text scores 0; a null doc_id is carried along; repeated rows are scored each. Without rows there is no row;
-    further columns don't matter.
+    A null or empty text scores 0; a null doc_id is carried along; repeated rows are scored each. Very long texts and tokens
+    are read whole. Without rows or without toxic labels there is no row; further columns don't matter.
     """
     model = fit(docs, labels, sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -390,5 +402,9 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without the toxic ones; all columns stay."""
+    """docs without the rows that score as in toxic_documents() above the threshold of their language.
+
+    All columns stay as they are, whatever their names. Null and empty texts score 0 and stay, rows of null ids and repeated
+    rows are judged like others, a score of just the threshold stays. Without toxic labels all rows stay; an empty table stays empty.
+    """
     return docs.mapInArrow(_scorer(docs, fit(docs, labels, sample_rows)), docs.schema)

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -121,3 +122,19 @@ def test_spaced_doubled_and_split_words(tables):
     three = toxicity.Model({"fag": 5.0}, model.grams, 1.0).prepare()
     assert three.score("he is f a g here") == 5.0
     assert model.score("a b " * 100000) == 0
+
+
+def test_long_tokens_take_linear_time():
+    m = toxicity.Model({"stupid": 5.0, "idiot": 5.0}, np.random.default_rng(1).integers(0, 50, toxicity.N**3), 1.0).prepare()
+    took = []
+    for n in (400, 4000):
+        began = time.process_time()
+        m.restore("a" + "*1" * n + "b")
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * took[0] + 0.5
+
+
+def test_lookalike_letters():
+    m = toxicity.Model({"stupid": 5.0, "scum": 4.0, "глупый": 3.0}, np.ones(toxicity.N**3, dtype=np.int64), 1.0).prepare()
+    assert m.score("you stuріd") == 5.0 and m.score("ｓｃｕｍ") == 4.0 and m.score("𝐬𝐭𝐮𝐩𝐢𝐝") == 5.0  # Cyrillic, full-width, bold
+    assert m.score("он глупый") == 3.0 and m.score("гл*пый") == 0 and m.score("глуп4ый") == 0 and m.score("rоse") == 0
