@@ -21,7 +21,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace(docs)
+    return pii.replace(docs, pii.key_of(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +40,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that every stage keeps, with the columns of documents; each stage's table is written in the shared folder.
+
+    A stage treats null and empty texts, null ids, repeated rows and very long texts as its operator says: null and empty
+    texts pass the first four stages and null ids are left out by mixing. Extra columns stay as they are, whatever their
+    names; an empty table stays empty. Surrogates are those of the session's key, or else of a key of this run.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)

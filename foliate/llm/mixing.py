@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import cut
+from .shared import cut, unused
 
 #: Budgets as shares of all tokens; the samples are nested.
 BUDGETS = (0.1, 0.25, 0.5)
@@ -79,11 +79,15 @@ def levels(docs: DataFrame, shares: tuple[float, ...] = BUDGETS, temperature: fl
 
 
 def mix(docs: DataFrame, shares: tuple[float, ...] = BUDGETS, temperature: float = TEMPERATURE) -> DataFrame:
-    """docs that are in the largest sample; all columns stay."""
+    """docs that are in the largest sample; all columns stay as they are, whatever their names.
+
+    Rows of null ids are left out and those that repeat an id share its fate; otherwise as in levels(). An empty table stays empty.
+    """
+    source, most = unused(docs, "told_source", "most")
     cuts = cut(thresholds(cut(counted(docs), "counted"), shares, temperature).where(F.col("level") == len(shares)), "thresholds")
-    cuts = cuts.select(F.col("source").alias("__source"), F.col("threshold").alias("__most"))
-    kept = docs.where("doc_id is not null").join(cuts, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__source"))
-    return kept.where(F.col("__most").isNull() | (hashed(F.col("doc_id")) <= F.col("__most"))).select(*docs.columns)
+    cuts = cuts.select(F.col("source").alias(source), F.col("threshold").alias(most))
+    kept = docs.where("doc_id is not null").join(cuts, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(source))
+    return kept.where(F.col(most).isNull() | (hashed(F.col("doc_id")) <= F.col(most))).select(*docs.columns)
 
 
 ORACLE = rf"""

@@ -44,8 +44,9 @@ def test_levels(spark, rows):
 
 
 def test_mix_keeps_rows(spark, rows):
-    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA).withColumns({"h": F.lit("h"), "level": F.lit(9), "threshold": F.lit(None)})
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA).withColumns({c: F.lit("mine") for c in ("h", "level", "threshold", "__source", "__most", "told_source", "Most")})
     out = mixing.mix(docs)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted(x[0] for x in brute(rows, mixing.BUDGETS, mixing.TEMPERATURE))
+    assert {(r["__source"], r.told_source, r.Most) for r in out.collect()} == {("mine",) * 3}
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.levels(docs.limit(0)).count() == 0

@@ -64,3 +64,22 @@ def test_run_matches_brute_force(spark, tmp_path):
         assert (text != before[i]) == bool(marked)
         assert not {s[3] for s in marked} & {s[3] for s in pii.entities(text)}
     assert any(pii.entities(before[i]) for i in got)
+
+
+def test_run_with_any_columns_and_empty(spark, tmp_path):
+    names = ["__md5", "__known", "__source", "__most", "__id", "__id0", "__hash", "__hash0", "__stays", "md5", "found", "known", "most", "id", "stays", "again", "whole", "h", "level"]
+    words = [f"w{k}" for k in range(3000)]
+    random.Random(4).shuffle(words)
+    texts = [" ".join(words[k * 40 : k * 40 + 40]) + f" mail user{k}@example.com" for k in range(60)]
+    texts += [texts[0], texts[0], None, "", " ".join(words) * 40]
+    rows = [(k if k < 60 or k > 61 else 0, t, "en", "s", 0) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *(f"'mine' as `{c}`" for c in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    assert out.columns == docs.columns and got and all(r[c] == "mine" for r in got for c in names)
+    assert len({r.doc_id for r in got if r.text}) == sum(bool(r.text) for r in got)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
