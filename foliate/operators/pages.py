@@ -5,8 +5,12 @@ Blocks are rows (doc_id, ord, page, text); every operator takes DataFrames and p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window as W
 
 SHINGLE, ALIKE, LOOKAHEAD = 8, 0.8, 2
@@ -101,14 +105,30 @@ def nearest_offset(asked: DataFrame, votes: DataFrame) -> DataFrame:
     return found.withColumn("v", near).withColumn("offset", F.col("v.scan") - F.col("v.printed")).drop("low", "high", "v", "asked", "scan")
 
 
-def parents(nodes: DataFrame, levels: int = 8) -> DataFrame:
-    """nodes(doc_id, ord, level) with the ord of the nearest earlier node of a smaller level, or -1; levels of 0 and less count as the deepest."""
-    deep = nodes.withColumn("depth", F.when(F.col("level") <= 0, levels + 1).otherwise(F.least("level", F.lit(levels + 1))))
-    order = _by("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("depth") == k, F.col("ord")), True).over(order) for k in range(1, levels + 1)]
-    marked = deep.select("*", *(x.alias(f"__l{k}") for k, x in enumerate(last, 1)))
-    best = F.greatest(*(F.when(F.col("depth") > k, F.coalesce(F.col(f"__l{k}"), F.lit(-1))).otherwise(F.lit(-1)) for k in range(1, levels + 1)))
-    return marked.withColumn("parent", best).drop("depth", *(f"__l{k}" for k in range(1, levels + 1)))
+def parents(nodes: DataFrame) -> DataFrame:
+    """nodes(doc_id, ord, level) with the ord of the nearest earlier node of a smaller level, or -1.
+
+    Levels have no bound; those of 0 and less, and null ones, count as deeper than any and own nothing. A stack over rows in
+    order of document and ord: a task holds the open ancestors of one document only, however long it is.
+    """
+    schema = StructType([*nodes.schema.fields, StructField("parent", nodes.schema["ord"].dataType)])
+    return nodes.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(_owned, schema)
+
+
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    document, open_ = object(), []
+    for b in batches:
+        out = []
+        for doc, ord_, level in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ord", "level"))):
+            if doc != document:
+                document, open_ = doc, []
+            inner = level is None or level <= 0
+            while open_ and not inner and open_[-1][0] >= level:
+                open_.pop()
+            out.append(open_[-1][1] if open_ else -1)
+            if not inner:
+                open_.append((level, ord_))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, b.schema.field("ord").type)], names=[*b.schema.names, "parent"])
 
 
 def sink_below_anchor(titles: DataFrame) -> DataFrame:

@@ -21,13 +21,13 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.doc_lines(spark, sf_dir).withColumn("kind", K.block_type(label))
 
 
-@query("layout_blocks", f"""with t as (select doc_id, ord, {_TYPE_SQL} as kind, text, [left(text, 5), ''] as captions, row_number() over (partition by doc_id, {_TYPE_SQL}, text order by ord) as rn from {LINES}),
+@query("layout_blocks", f"""with t as (select doc_id, ord, {_TYPE_SQL} as kind, text, [text, ''] as captions, row_number() over (partition by doc_id, {_TYPE_SQL}, text order by ord) as rn from {LINES}),
 s as (select doc_id, ord, case when kind = 'noise' then 'text' else kind end as kind, text, captions from t where kind <> 'noise' or (rn = 1 and trim(text) <> '')),
 e as (select doc_id, ord, 0 as sub, kind, text from s union all select doc_id, ord, case kind when 'table' then -100 else 1 end, case kind when 'table' then 'table_caption' else 'figure_caption' end, captions[1] from s where kind in ('table', 'image')
   union all select doc_id, ord, case kind when 'table' then -99 else 2 end, case kind when 'table' then 'table_caption' else 'figure_caption' end, captions[2] from s where kind in ('table', 'image'))
 select * from e where kind in ('image', 'table') or trim(text) <> ''""")
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.emitted(typed(spark, sf_dir).withColumn("captions", F.array(F.left("text", F.lit(5)), F.lit(""))))
+    return K.emitted(typed(spark, sf_dir).withColumn("captions", F.array(F.col("text"), F.lit(""))))
 
 
 _BOX = "(ord % 3) * 0.3 as x1, (ord * 5 % 8) / 8.0 as y1, (ord % 3) * 0.3 + 0.2 + length(text) % 10 / 50.0 as x2, (ord * 5 % 8) / 8.0 + 0.02 + length(text) % 7 / 50.0 as y2"
@@ -66,13 +66,12 @@ def body_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.body_range(front.unionByName(back), s.groupBy("doc_id").agg(F.max("page").alias("last_page")))
 
 
-_TITLES = f"(select doc_id, ord, page, 1 + ord % 2 as level, left(text, 4 + cast(ord % 3 as integer)) as text, {T.core_key_sql('left(text, 4 + cast(ord % 3 as integer))')} as core, {T.title_key_sql('left(text, 2)')} as key from {SENTENCES})"
+_TITLES = f"(select doc_id, ord, page, 1 + ord % 2 as level, text, {T.core_key_sql('text')} as core, {T.title_key_sql('text')} as key from {SENTENCES})"
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.sentences(spark, sf_dir)
-    cut = F.left("text", (4 + F.col("ord") % 3).cast("int"))
-    return s.select("doc_id", "ord", "page", (1 + F.col("ord") % 2).alias("level"), cut.alias("text"), T.core_key(cut).alias("core"), T.title_key(F.left("text", F.lit(2))).alias("key"))
+    return s.select("doc_id", "ord", "page", (1 + F.col("ord") % 2).alias("level"), "text", T.core_key(F.col("text")).alias("core"), T.title_key(F.col("text")).alias("key"))
 
 
 @query("abbreviated_titles", f"with t as {_TITLES} select a.doc_id, a.ord from t a where a.core <> '' and exists (select 1 from t b where b.doc_id = a.doc_id and b.page = a.page and b.level = a.level and b.ord <> a.ord and ((starts_with(b.core, a.core) and b.core <> a.core) or (a.core = b.core and (length(a.text) < length(b.text) or (length(a.text) = length(b.text) and a.ord > b.ord)))))")
@@ -97,10 +96,10 @@ def progress_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.spans(V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("stage"), F.col("l_quantity").cast("double").alias("seconds")))
 
 
-@query("default_metadata", "select doc_id, coalesce(nullif(trim(case when doc_id % 3 = 0 then ' ' else left(text, 20) end), ''), cast(doc_id as varchar)) as title, coalesce(case when doc_id % 2 = 0 then lang end, 'zh') as language, case when doc_id % 5 = 0 then 1 else 0 end as authors from documents")
+@query("default_metadata", "select doc_id, coalesce(nullif(trim(case when doc_id % 3 = 0 then ' ' else text end), ''), cast(doc_id as varchar)) as title, coalesce(case when doc_id % 2 = 0 then lang end, 'zh') as language, case when doc_id % 5 = 0 then 1 else 0 end as authors from documents")
 def default_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "documents")
-    meta = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.left("text", F.lit(20))).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"), F.when(F.col("doc_id") % 5 == 0, F.array("source")).alias("authors"))
+    meta = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text")).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"), F.when(F.col("doc_id") % 5 == 0, F.array("source")).alias("authors"))
     return K.with_defaults(meta).withColumn("authors", F.size("authors"))
 
 

@@ -70,14 +70,14 @@ def toc_row_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rescue_by_page")
 def rescue_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.sentences(spark, sf_dir).select("doc_id", "ord", "page", F.left(T.title_key(F.col("text")), F.lit(64)).alias("key"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("toc_ord"), F.lit(False).alias("missing"))
+    b = V.sentences(spark, sf_dir).select("doc_id", "ord", "page", T.title_key(F.col("text")).alias("key"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("toc_ord"), F.lit(False).alias("missing"))
     e = b.where("ord % 7 = 0 and length(key) > 4").select("doc_id", F.lit(-1).alias("ord"), "page", F.concat(F.left("key", F.length("key") - 1), F.lit("#")).alias("key"), (1 + F.col("ord") % 2).cast("int").alias("level"), F.col("ord").alias("toc_ord"), F.lit(True).alias("missing"))
     return L.by_document(b.unionByName(e), L.rescue, "doc_id long, toc_ord int, ord int, sub_ord int, level int, how string")
 
 
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table a page of a document, of its lines; every line's words are the cells of a row."""
-    row = F.concat(F.lit("<tr><td>"), F.array_join(F.transform(F.slice(F.split(F.col("text"), " "), 1, 4), R.escape_attr), "</td><td>"), F.lit("</td></tr>"))
+    row = F.concat(F.lit("<tr><td>"), F.array_join(F.transform(F.split(F.col("text"), " "), R.escape_attr), "</td><td>"), F.lit("</td></tr>"))
     lines = V.doc_lines(spark, sf_dir).withColumn("row", row)
     rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "row"))), lambda b: b.row), "")
     return lines.groupBy("doc_id", "page").agg(F.min("ord").alias("ord"), F.concat(F.lit('<table><tr><th colspan="2">a</th><th>b</th><th>c</th></tr>'), rows, F.lit("</table>")).alias("html"))
@@ -105,7 +105,7 @@ def block_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.doc_lines(spark, sf_dir).select("doc_id", "ord", R.block_html(kind, F.concat("text", F.lit("$^{2}$")), 1 + F.col("ord") % 7).alias("html"))
 
 
-_UNITS = f"(select doc_id, ord as unit, left(text, 40) as title, case when ord % 7 = 3 then 'divider' else 'chapter' end as kind from {LINES})"
+_UNITS = f"(select doc_id, ord as unit, text as title, case when ord % 7 = 3 then 'divider' else 'chapter' end as kind from {LINES})"
 
 
 @query("unit_files", f"with f as (select *, case kind when 'divider' then 'part_' else 'chapter_' end || lpad(cast(row_number() over (partition by doc_id order by unit) - 1 as varchar), 3, '0') || '.xhtml' as file from {_UNITS}) select doc_id, unit, file, case when kind <> 'divider' then last_value(case when kind = 'divider' then file end ignore nulls) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding) end as under from f")
@@ -114,7 +114,7 @@ def unit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.doc_lines(spark, sf_dir).select("doc_id", F.col("ord").alias("unit"), F.left("text", F.lit(40)).alias("title"), F.when(F.col("ord") % 7 == 3, "divider").otherwise("chapter").alias("kind"))
+    return V.doc_lines(spark, sf_dir).select("doc_id", F.col("ord").alias("unit"), F.col("text").alias("title"), F.when(F.col("ord") % 7 == 3, "divider").otherwise("chapter").alias("kind"))
 
 
 @query("navigation", f"with u as {_UNITS}, w as (select *, last_value(case when kind = 'divider' then unit end ignore nulls) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding) as part from u) select doc_id, cast(count_if(kind = 'divider' or part is null) as integer) as entries, cast(count_if(kind <> 'divider' and part is not null) as integer) as nested from w group by doc_id")
@@ -159,9 +159,9 @@ def translation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.translation_of(asked, done)
 
 
-@query("glossary_terms", "with t as (select conv_id as doc_id, left(text, 3) as source, arg_max(role, turn) as target from conversations group by 1, 2), r as (select *, row_number() over (partition by doc_id order by source) as k from t) select doc_id, string_agg(source || '=' || target, '|' order by source) as terms from r where k <= 60 group by doc_id")
+@query("glossary_terms", "with t as (select conv_id as doc_id, text as source, arg_max(role, turn) as target from conversations group by 1, 2), r as (select *, row_number() over (partition by doc_id order by source) as k from t) select doc_id, string_agg(source || '=' || target, '|' order by source) as terms from r where k <= 60 group by doc_id")
 def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = V.turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.left("text", F.lit(3)).alias("source"), F.col("role").alias("target"), F.col("turn").alias("batch"))
+    t = V.turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("text").alias("source"), F.col("role").alias("target"), F.col("turn").alias("batch"))
     return TR.glossary(t).select("doc_id", F.array_join(F.transform("terms", lambda x: F.concat(x.source, F.lit("="), x.target)), "|").alias("terms"))
 
 

@@ -114,9 +114,9 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), level.cast("int").alias("level"), "text")
 
 
-@query("level_parent_tree", f"with n as (select doc_id, ord, level, case when level <= 0 then 9 else least(level, 9) end as depth from {_NODES}) select a.doc_id, a.ord, a.level, coalesce(max(b.ord), -1) as parent from n a left join n b on b.doc_id = a.doc_id and b.ord < a.ord and b.depth < a.depth group by a.doc_id, a.ord, a.level")
+@query("level_parent_tree", f"with n as (select doc_id, ord, level from {_NODES}) select a.doc_id, a.ord, a.level, coalesce(max(b.ord), -1) as parent from n a left join n b on b.doc_id = a.doc_id and b.ord < a.ord and b.level > 0 and (a.level <= 0 or b.level < a.level) group by a.doc_id, a.ord, a.level")
 def level_parent_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.parents(_nodes(spark, sf_dir)).select("doc_id", "ord", "level", "parent")
+    return P.parents(_nodes(spark, sf_dir).select("doc_id", "ord", "level"))
 
 
 @query("unanchored_sink", f"with n as (select *, length(text) % 3 = 0 as anchored from {_NODES}), w as (select *, last_value(case when anchored then level end ignore nulls) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding) as last from n) select doc_id, ord, case when not anchored and last is not null then greatest(level, last + 1) else level end as new_level from w")

@@ -54,9 +54,9 @@ def anchor_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.match_anchors(blocks(spark, sf_dir), A.anchor_table(entries(spark, sf_dir)))
 
 
-@query("anchor_levels", f"with d as (select distinct doc_id, display, page, level from {_ANCHORS} where toc_ord % 12 < 6), l as (select doc_id, level, count(*) as n from d group by all), t as (select doc_id, count(*) as k, arg_min(n, level) as up, arg_max(n, level) as low, max(level) as flat from l group by doc_id) select a.doc_id, a.toc_ord, a.key, case when k = 2 and up <= 2 and low >= 5 then flat else a.level end as level from {_ANCHORS} a join t using (doc_id) where a.toc_ord % 12 < 6")
+@query("anchor_levels", f"with d as (select distinct doc_id, display, page, level from {_ANCHORS}), l as (select doc_id, level, count(*) as n from d group by all), t as (select doc_id, count(*) as k, arg_min(n, level) as up, arg_max(n, level) as low, max(level) as flat from l group by doc_id) select a.doc_id, a.toc_ord, a.key, case when k = 2 and up <= 2 and low >= 5 then flat else a.level end as level from {_ANCHORS} a join t using (doc_id)")
 def anchor_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.collapse_levels(A.anchor_table(entries(spark, sf_dir).where("toc_ord % 12 < 6"))).select("doc_id", "toc_ord", "key", "level")
+    return A.collapse_levels(A.anchor_table(entries(spark, sf_dir))).select("doc_id", "toc_ord", "key", "level")
 
 
 @query("toc_page_votes", f"with h as (select b.doc_id, b.page, count(distinct b.ord) as hits, max(e.page) - min(e.page) as span from {_BLOCKS} b join (select distinct doc_id, key, toc_ord % 60 as page from {_ANCHORS}) e on e.doc_id = b.doc_id and e.key = b.key group by b.doc_id, b.page), s as (select doc_id, page, count(*) as lines from {_BLOCKS} where key <> '' group by all) select doc_id, page, cast(hits as bigint) as hits from h join s using (doc_id, page) where hits >= 3 and span > 5 and 2 * hits >= lines")

@@ -103,12 +103,12 @@ def test_anchor_tiers_match_a_loop(spark):
 
 def test_parents_match_a_stack(spark):
     r = random.Random(2)
-    rows = [(d, o, r.randint(-1, 6)) for d in range(5) for o in range(80)]
+    rows = [(d, o, o + 1 if d == 4 and o < 15 else r.randint(-1, 15)) for d in range(5) for o in range(80)]
     want = {}
     for d in range(5):
         stack = []
         for _, o, level in [x for x in rows if x[0] == d]:
-            depth = level if level > 0 else 9
+            depth = level if level > 0 else 100
             while stack and stack[-1][0] >= depth:
                 stack.pop()
             want[d, o] = stack[-1][1] if stack else -1
