@@ -13,9 +13,10 @@ units' networks are averaged, weighted by positions, in whole numbers: the resul
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ ROUNDS = 4
 #: Tokens of a unit of training, on average.
 UNIT = 2_000_000
 RATE, BATCH, CLIP = 0.1, 4096, 1.0
+#: Positions that are scored at once, and the size up to which logits need no shift before exp().
+BLOCK, HARMLESS = 16 * BATCH, 60.0
+#: Up to so many rows of a token are summed for all tokens at once.
+FEW = 4
 EDGE = VOCABULARY  # the token outside of a text
 KEPT_WORDS, COUNTED_WORDS = 300_000, 400_000
 PIECES = 64
@@ -63,25 +68,31 @@ def tail_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word, 42) >> SPLIT
 
 
-class Coder(dict):
+class Coder:
     """Words to token numbers, the most frequent words first, then the shapes; above SPLIT bits the hashes of words that have only a shape."""
 
     def __init__(self, vocabulary: list[str]):
         self.own = {w: k for k, w in enumerate(vocabulary)}
-        super().__init__(self.own)
         self.shapes: dict[str, int] = {}
+        self.clear()
 
-    def __missing__(self, word: str, digest=xxhash.xxh64_intdigest) -> int:
-        if len(self) > KEPT_WORDS:
+    def clear(self) -> None:
+        self.place = defaultdict(count(len(self.own)).__next__, self.own)  # of a word in codes
+        self.codes = np.arange(len(self.own), dtype=np.uint64)
+        self.shapes.clear()
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.place) > KEPT_WORDS:
             self.clear()
-            self.update(self.own)  # so words of the vocabulary are never missing
-            self.shapes.clear()
-        form = f"{len(word)}{word[-2:]}"
-        if (k := self.shapes.get(form)) is None:
-            k = self.shapes[form] = VOCABULARY - SHAPES + shape(word)
-        k |= digest(word, 42) >> SPLIT << SPLIT
-        self[word] = k
-        return k
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if new := list(islice(reversed(self.place), len(self.place) - len(self.codes)))[::-1]:
+            forms = [f"{len(w)}{w[-2:]}" for w in new]
+            for form, w in dict(zip(forms, new)).items():
+                if form not in self.shapes:
+                    self.shapes[form] = VOCABULARY - SHAPES + shape(w)
+            code = np.fromiter(map(xxhash.xxh64_intdigest, new, repeat(42)), np.uint64, len(new)) >> np.uint64(SPLIT) << np.uint64(SPLIT)
+            self.codes = np.r_[self.codes, code | np.fromiter(map(self.shapes.__getitem__, forms), np.uint64, len(new))]
+        return self.codes[at]
 
 
 def fresh() -> dict[str, np.ndarray]:
@@ -110,9 +121,32 @@ def contexts(ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray
     return padded[place[at][:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])]
 
 
-def hidden(net: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.einsum("nkd,kd->nd", net["embed"].take(around, axis=0), net["place"])
-    return x, np.tanh(x @ net["w"] + net["b"])
+def _places(net: dict[str, np.ndarray]) -> np.ndarray:
+    """What each token adds to the hidden layer's input from each place around the one that is predicted."""
+    return net["embed"] * net["place"][:, None]
+
+
+def _gathered(tables: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """The sum over the places of the tokens' rows."""
+    x = tables[0].take(around[:, 0], axis=0)
+    for k in range(1, 2 * SIDE):
+        x += tables[k].take(around[:, k], axis=0)
+    return x
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """h and a column of ones, which stands for the bias."""
+    out = np.ones((len(h), HIDDEN + 1), dtype=h.dtype)
+    np.tanh(h, out=out[:, :HIDDEN])
+    return out
+
+
+def _outputs(net: dict[str, np.ndarray]) -> np.ndarray:
+    """For each class the weights of all classes' logits, then those of the logits within it; the last row has the biases."""
+    out = np.empty((CLASSES, HIDDEN + 1, CLASSES + WIDTH), dtype=net["o"].dtype)
+    out[:, :HIDDEN, :CLASSES], out[:, HIDDEN, :CLASSES] = net["c"], net["cb"]
+    out[:, :HIDDEN, CLASSES:], out[:, HIDDEN, CLASSES:] = net["o"], net["ob"]
+    return out
 
 
 def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -122,74 +156,88 @@ def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order, [(c, int(e - n), int(e)) for c, (e, n) in enumerate(zip(ends, np.diff(ends, prepend=0))) if n]
 
 
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Turns rows of logits into exponentials in place, less the rows' greatest where those could overflow or vanish; the sums, and what was taken off."""
+    top = 0.0
+    if not (-HARMLESS < x.min() and x.max() < HARMLESS):
+        top = x.max(axis=1)
+        x -= top[:, None]
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], dtype=x.dtype), top
+
+
+def _sums(rows: np.ndarray, of: np.ndarray, many: int) -> np.ndarray:
+    """The sums of the rows of each number below many."""
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    n = np.diff(np.r_[first, len(of)])
+    found = rows.take(order[first], axis=0)
+    for k in range(1, FEW):
+        more = np.flatnonzero(n > k)
+        found[more] += rows.take(order[first[more] + k], axis=0)
+    if len(more := np.flatnonzero(n > FEW)):
+        rest = rows.take(order[np.repeat(n > FEW, n)], axis=0)
+        pairs = rest.view(np.result_type(rest, np.complex64))  # two columns at once
+        found[more] = np.add.reduceat(pairs, np.r_[0, np.cumsum(n[more])[:-1]], axis=0).view(rest.dtype)
+    out = np.zeros((many, rows.shape[1]), dtype=rows.dtype)
+    out[of[first]] = found
+    return out
+
+
 def log_probabilities(net: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | the tokens around it)."""
     out = np.empty(len(target), dtype=np.float64)
-    for k in range(0, len(target), BATCH):
-        t = target[k : k + BATCH].astype(np.int64)
-        h = hidden(net, around[k : k + BATCH])[1]
+    tables, weights = _places(net) @ net["w"], _outputs(net)
+    for k in range(0, len(target), BLOCK):
+        t = target[k : k + BLOCK].astype(np.int64)
         order, parts = _by_class(t // WIDTH)
-        t, h = t[order], h[order]
-        rows = np.arange(len(t))
-        within = np.empty((len(t), WIDTH), dtype=h.dtype)
-        for c, a, b in parts:
-            np.matmul(h[a:b], net["o"][c], out=within[a:b])
-            within[a:b] += net["ob"][c]
-        p = 0.0
-        for logits, at in ((h @ net["c"] + net["cb"], t // WIDTH), (within, t % WIDTH)):
-            own = logits[rows, at]
-            top = logits.max(axis=1, keepdims=True)
-            logits -= top
-            np.exp(logits, out=logits)
-            p = p + own - top[:, 0] - np.log(logits.sum(axis=1))
-        out[k + order] = p
+        t, own = t[order] % WIDTH, np.empty(len(t))
+        near = around[k : k + BLOCK][order]
+        for c, begin, end in parts:
+            for a in range(begin, end, BATCH):
+                b = min(a + BATCH, end)
+                x = _with_one(_gathered(tables, near[a:b]) + net["b"]) @ weights[c]
+                top = x[:, c] + x[np.arange(b - a), CLASSES + t[a:b]]
+                total, less = _exponentials(x.reshape(-1, WIDTH))
+                own[a:b] = top - (np.log(total) + less).reshape(-1, 2).sum(axis=1)
+        out[k + order] = own
     return out
 
 
-def _softmax(x: np.ndarray, rows: np.ndarray, at: np.ndarray) -> float:
-    """Turns logits into probabilities less the target, in place; returns the loss."""
-    own = x[rows, at] - (top := x.max(axis=1, keepdims=True))[:, 0]
-    x -= top
-    np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
-    x /= total
-    x[rows, at] -= 1
-    return float((np.log(total[:, 0]) - own).sum())
-
-
 def gradients(net: dict[str, np.ndarray], around: np.ndarray, t: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """The mean loss of a batch and its gradients."""
     n, t = len(t), t.astype(np.int64)
     order, parts = _by_class(t // WIDTH)
     around, t = around[order], t[order]
-    x, h = hidden(net, around)
-    rows = np.arange(n)
-    p = h @ net["c"] + net["cb"]
-    loss = _softmax(p, rows, t // WIDTH)
-    g = {"c": h.T @ p, "cb": p.sum(axis=0), "o": np.zeros_like(net["o"]), "ob": np.zeros_like(net["ob"])}
-    dh = p @ net["c"].T
-    q = np.empty((n, WIDTH), dtype=h.dtype)
+    x = _gathered(_places(net), around)
+    h = _with_one(x @ net["w"] + net["b"])
+    weights = _outputs(net)
+    p = np.empty((n, CLASSES + WIDTH), dtype=h.dtype)
     for c, a, b in parts:
-        np.matmul(h[a:b], net["o"][c], out=q[a:b])
-        q[a:b] += net["ob"][c]
-    loss += _softmax(q, rows, t % WIDTH)
+        np.matmul(h[a:b], weights[c], out=p[a:b])
+    rows, halves = np.arange(n), p.reshape(-1, WIDTH)
+    at = np.stack([t // WIDTH, t % WIDTH], axis=1).ravel()
+    own = halves[np.arange(2 * n), at]
+    total, less = _exponentials(halves)
+    loss = float((np.log(total) + less - own).sum())
+    halves *= (1 / total)[:, None]
+    p[rows, t // WIDTH] -= 1
+    p[rows, CLASSES + t % WIDTH] -= 1
+    outer, dh = np.zeros_like(weights), np.empty((n, HIDDEN), dtype=h.dtype)
     for c, a, b in parts:
-        np.matmul(h[a:b].T, q[a:b], out=g["o"][c])
-        g["ob"][c] = q[a:b].sum(axis=0)
-        dh[a:b] += q[a:b] @ net["o"][c].T
+        np.matmul(h[a:b].T, p[a:b], out=outer[c])
+        np.matmul(p[a:b], weights[c, :HIDDEN].T, out=dh[a:b])
+    first = outer[:, :, :CLASSES].sum(axis=0)
+    g = {"c": first[:HIDDEN], "cb": first[HIDDEN], "o": outer[:, :HIDDEN, CLASSES:], "ob": outer[:, HIDDEN, CLASSES:]}
+    h = h[:, :HIDDEN]
     dh *= 1 - h * h
     g["w"], g["b"] = x.T @ dh, dh.sum(axis=0)
     dx = dh @ net["w"].T
-    g["embed"], g["place"] = np.zeros_like(net["embed"]), np.zeros_like(net["place"])
-    for k in range(2 * SIDE):
-        g["place"][k] = np.einsum("ij,ij->j", dx, net["embed"].take(around[:, k], axis=0))
-        by = np.argsort(around[:, k].astype(np.uint16), kind="stable")
-        ids = around[by, k]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        sums = np.add.reduceat(dx.take(by, axis=0), first, axis=0)
-        sums *= net["place"][k]
-        g["embed"][ids[first]] += sums
-    return loss / n, {k: v / n for k, v in g.items()}
+    g["place"] = np.stack([np.einsum("ij,ij->j", dx, net["embed"].take(around[:, k], axis=0)) for k in range(2 * SIDE)])
+    each = (dx * net["place"][:, None]).reshape(-1, EMBED)
+    g["embed"] = _sums(each, around.T.astype(np.uint16).ravel(), VOCABULARY + 1)
+    return loss / n, {k: np.divide(v, n, order="C") for k, v in g.items()}
 
 
 class Trainer:
@@ -236,17 +284,17 @@ class Fitted:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter[str] = Counter()
+    times: Counter[str] = Counter()
 
     def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.string()), pa.array(times.values(), pa.int64())], names=["word", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            count.update(tokens(text))
-            if len(count) > COUNTED_WORDS:
+            times.update(tokens(text))
+            if len(times) > COUNTED_WORDS:
                 yield told()
-                count.clear()
+                times.clear()
     yield told()
 
 
@@ -291,7 +339,7 @@ def _encode(told):
                     every += tokens(t)
                     ends.append(len(every))
                 lengths = np.diff(ends)
-                code = np.fromiter(map(coder.__getitem__, every), np.uint64, len(every))
+                code = coder(every)
                 ids = (code & np.uint64(2**SPLIT - 1)).astype(np.uint16)
                 rare = ids >= VOCABULARY - SHAPES
                 # one number for a text of the slice and a word

@@ -1,8 +1,10 @@
 import math
 import random
+import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,52 @@ def test_gradients():
             assert abs((up - down) / 2 / eps - g[k].flat[at]) < 1e-5
 
 
+def test_probabilities_and_gradients_with_large_logits():
+    r = np.random.default_rng(4)
+    net = {k: v + r.normal(0, 0.1, v.shape) for k, v in M.fresh().items()}
+    net["cb"] += 900 * r.random(M.CLASSES)
+    net["ob"] -= 900 * r.random(net["ob"].shape)
+    around, target = r.integers(0, M.VOCABULARY + 1, (3 * M.BATCH, 4)), np.r_[np.zeros(2 * M.BATCH, dtype=int), r.integers(0, M.VOCABULARY, M.BATCH)]
+    got = M.log_probabilities(net, around, target)
+    for k in range(0, len(target), 997):
+        h = np.tanh((net["embed"][around[k]] * net["place"]).sum(axis=0) @ net["w"] + net["b"])
+        c, want = target[k] // M.WIDTH, 0.0
+        for logits, at in ((h @ net["c"] + net["cb"], c), (h @ net["o"][c] + net["ob"][c], target[k] % M.WIDTH)):
+            want += logits[at] - logits.max() - math.log(np.exp(logits - logits.max()).sum())
+        assert abs(got[k] - want) < 1e-6
+    assert abs(M.gradients(net, around, target)[0] + got.mean()) < 1e-6
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_sums_of_rows(kind):
+    r = np.random.default_rng(5)
+    of = np.r_[np.repeat(np.arange(9), np.arange(9)), np.full(500, 11), [19]].astype(np.uint16)  # 0 to 8 rows a number, many, one
+    of, rows = r.permutation(of), r.integers(-9, 9, (len(of), M.EMBED)).astype(kind)
+    want = np.zeros((20, M.EMBED), dtype=kind)
+    np.add.at(want, of, rows)
+    got = M._sums(rows, of, 20)
+    assert got.dtype == kind and (got == want).all() and not M._sums(rows[:1], of[:1] * 0 + 3, 20)[4:].any()
+
+
+def test_words_are_coded_without_a_call_for_each(spark, monkeypatch):
+    words = [f"{'añ' * (k % 9)}{k}" for k in range(5000)]
+    text, calls = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([" ".join(words[:3000]), None, " ".join(words)])], names=["doc_id", "text"]), []
+    run = M._encode(spark.sparkContext.broadcast(words[:40]))
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" and frame.f_code.co_filename == M.__file__ else None)
+    try:
+        first = list(run(iter([text])))
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(words) / 2
+    monkeypatch.setattr(M, "KEPT_WORDS", 1000)  # kept words are dropped and found anew
+    for batch in (*first, *run(iter([text])), *run(iter([text]))):
+        own = [[], [], []]
+        for k, told in enumerate((words[:3000], [], words)):
+            own[k] = [j if (j := words.index(w) if w in words[:40] else -1) >= 0 else M.VOCABULARY - M.SHAPES + M.shape(w) for w in told]
+            assert np.frombuffer(batch.column("ids")[k].as_py(), dtype=np.uint16).tolist() == own[k]
+            assert dict(zip(batch.column("tail")[k].as_py(), batch.column("times")[k].as_py())) == Counter(M.tail_hash(w) for w in told[40:])
+
+
 def test_rounds_mask_every_position_once():
     lengths = np.array([1000, 0, 5000])
     found = [M.masked(np.arange(3, dtype=np.uint64), lengths, k, 4) for k in range(4)]
