@@ -220,3 +220,37 @@ def test_levels_said_by_a_model(spark):
     t = spark.createDataFrame([(1, 0, 2, True, False), (1, 1, 9, False, True), (1, 2, 9, False, False)], "doc_id int, ord int, level int, anchored boolean, plain boolean")
     said = spark.createDataFrame([(1, 0, 7), (1, 1, 1), (1, 2, 0)], "doc_id int, ord int, level int")
     assert {r.ord: r.new_level for r in K.applied_levels(t, said).collect()} == {0: 2, 1: 3, 2: 1}
+
+
+def test_edit_distance_in_a_band():
+    def whole(a, b):
+        line = [*range(len(b) + 1)]
+        for row, x in enumerate(a, 1):
+            corner, line[0] = line[0], row
+            for k, y in enumerate(b, 1):
+                corner, line[k] = line[k], corner if x == y else 1 + min(corner, line[k], line[k - 1])
+        return line[-1]
+
+    r = random.Random(8)
+    for _ in range(3000):
+        a, most = "".join(r.choices("ab", k=r.randrange(9))), r.randrange(4)
+        b = "".join(r.choices("ab", k=r.randrange(9)))
+        assert L.distance(a, b, most) == min(whole(a, b), most + 1)
+
+
+def test_edit_distance_reads_no_more_than_the_band():
+    class Counted(str):
+        seen = 0
+
+        def __getitem__(self, k):
+            Counted.seen += 1
+            return str.__getitem__(self, k)
+
+        def __iter__(self):
+            for x in str.__iter__(self):
+                Counted.seen += 1
+                yield x
+
+    key = "".join(random.Random(9).choices("abcdef", k=1500))
+    assert L.distance(key, Counted(key[:-1] + "#"), 2) == 1
+    assert Counted.seen <= 5 * len(key)  # 1500 times as many in the whole table
