@@ -85,9 +85,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_chain_merge")
 def table_chain_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = html_tables(spark, sf_dir)
-    agree = TB.merge_candidates(t).where("agree").select("doc_id", F.col("next_ord").alias("ord"), F.lit(True).alias("follows"))
-    return TB.merge_chains(t.join(agree, ["doc_id", "ord"], "left"))
+    return TB.merge_pages(html_tables(spark, sf_dir))
 
 
 @query("table_measures")
