@@ -10,9 +10,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window as W
 
+from .grouped import by_rows
+
 SHINGLE, ALIKE, LOOKAHEAD = 8, 0.8, 2
 
 
@@ -45,25 +47,33 @@ def sampled_pages(pages: DataFrame, front: int = 15, back: int = 5) -> DataFrame
     return pages.withColumn("last_page", last).where((F.col("page") <= front) | (F.col("page") > F.greatest(F.lit(front), F.col("last_page") - back))).drop("last_page")
 
 
-def shingled(text: Column, width: int = SHINGLE) -> Column:
-    """Hashes of the distinct runs of `width` characters; a shorter text is its only shingle.
-
-    The text is split once: it is bound to a lambda's variable, as an expression within the inner lambda would be split anew for each run.
-    """
-    runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, width), "")))
-    return F.array_distinct(F.transform(F.array(F.split(text, "(?!^)(?!$)")), runs)[0])
+def shingled(text: str, width: int = SHINGLE) -> set[str]:
+    """The distinct runs of `width` characters; a shorter text is its only shingle."""
+    return {text[k : k + width] for k in range(max(len(text) - width + 1, 1))}
 
 
 def near_duplicate_pages(blocks: DataFrame) -> DataFrame:
     """(doc_id, page, dropped) of pages that have text. A page much like one of the next two drops the later one; dropped pages compare no more."""
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda b: b.text), "")
-    pages = blocks.groupBy("doc_id", "page").agg(F.regexp_replace(parts, r"(?U)\s+", "").alias("t")).where("t <> ''").withColumn("s", shingled(F.col("t")))
-    order = _by("doc_id").orderBy("page")
-    alike = lambda k: F.coalesce(F.size(F.array_intersect("s", F.lag("s", k).over(order))) > ALIKE * F.size(F.array_union("s", F.lag("s", k).over(order))), F.lit(False))
-    marked = pages.select("doc_id", "page", alike(1).alias("a1"), alike(2).alias("a2"))
-    rows = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "a1", "a2"))).alias("p"))
-    keep = F.aggregate("p", F.array().cast("array<boolean>"), lambda k, x: F.concat(k, F.array(~((x.a1 & F.coalesce(F.try_element_at(k, F.lit(-1)), F.lit(False))) | (x.a2 & F.coalesce(F.get(k, F.size(k) - 2), F.lit(False)))))))
-    return rows.select("doc_id", F.explode(F.arrays_zip(F.transform("p", lambda x: x.page).alias("page"), keep.alias("kept"))).alias("x")).select("doc_id", "x.page", (~F.col("x.kept")).alias("dropped"))
+    pages = blocks.groupBy("doc_id", "page").agg(F.regexp_replace(parts, r"(?U)\s+", "").alias("t")).where("t <> ''")
+    return by_rows(pages, _dropped, StructType([*pages.schema.fields[:2], StructField("dropped", BooleanType())]), "doc_id", order=("page",))
+
+
+def _dropped(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """A task holds as many kept pages as are looked back to; a page is cut up once it has a neighbour to compare with."""
+    document, back = object(), []
+    for doc, page, text in rows:
+        if doc != document:
+            document, back = doc, []
+        own, dropped = [text, None], False
+        for other in reversed(back):
+            if other and not dropped:
+                for x in (own, other):
+                    x[1] = shingled(x[0]) if x[1] is None else x[1]
+                same = len(own[1] & other[1])
+                dropped = same > ALIKE * (len(own[1]) + len(other[1]) - same)
+        back = [*back[1 - LOOKAHEAD :], None if dropped else own]
+        yield doc, page, dropped
 
 
 def page_gaps(covered: DataFrame, last: DataFrame, least: int = 4) -> DataFrame:
