@@ -47,14 +47,15 @@ QUOTES = (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'))
 
 
 def title_key(x: Column) -> Column:
-    """The form in which titles and table-of-contents entries are compared."""
-    x = F.regexp_replace(F.coalesce(x, F.lit("")), r"\$\^\{[^}]*\}\$", "")
+    """The form in which titles and table-of-contents entries are compared. Most texts have nothing but white space and case to change."""
+    text = x = F.coalesce(x, F.lit(""))
+    x = F.regexp_replace(x, r"\$\^\{[^}]*\}\$", "")
     x = F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"(?i)^[–—-]\s*[CDILMVX]+\.?\s*[–—-]\s*", "")
     for old in ("$", r"\left", r"\right"):
         x = F.replace(x, F.lit(old), F.lit(""))
     for old, new in QUOTES:
         x = F.replace(x, F.lit(old), F.lit(new))
-    return fold(squeeze(x))
+    return F.when(text.rlike(r"[$\\’‘“”]|^(?U:\s*)[–—-]"), fold(squeeze(x))).otherwise(fold(squeeze(text)))
 
 
 def title_key_sql(x: str) -> str:
